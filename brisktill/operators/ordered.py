@@ -1,15 +1,18 @@
 """Running sums and previous rows that stay distributed when one key is hot.
 
-A window over a key puts every row of that key in one task. Here the rows of a
-key are cut into buckets that follow the sort order; each bucket is summarised,
-only the summaries are walked key by key, and rows meet their bucket's result
-on (key, bucket). Results equal the plain window's.
+A window over a key puts every row of that key in one task, which is fine up to
+some size. Keys with more rows than that are cut into buckets that follow the
+sort order; each bucket is summarised, only the summaries are walked key by
+key, and rows meet their bucket's result on (key, bucket). Results equal the
+plain window's. Without hot keys their branch is empty and AQE drops it.
 """
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BUCKET_BITS = 16
+# The most rows of one key that are sorted by one task.
+TASK_ROWS = 1 << 20
 
 _BUCKET = "_bucket"
 _BEFORE = "_before_"
@@ -25,11 +28,28 @@ def with_bucket(df, buckets):
     return df.withColumn(_BUCKET, buckets[0] if len(buckets) == 1 else F.struct(*buckets))
 
 
+def split_hot(df, keys, task_rows=TASK_ROWS):
+    """(rows of ordinary keys, rows of keys with more than `task_rows` rows).
+
+    There are at most rows / task_rows hot keys: a million for 10**12 rows,
+    which is what the broadcast is sized for.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = F.broadcast(counts.filter(F.col("_rows") > task_rows).select(*keys))
+    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+
+
 def _over(keys):
     # Without keys, all buckets are walked together: n / 2**bits short rows.
     return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_BUCKET)
 
 
+def _carried(rows, carry):
+    if carry is None:
+        return rows
+    return rows.join(carry, [c for c in carry.columns if c in rows.columns], "left")
+
+
 def bucket_offsets(bucketed, keys, values):
     """Per key and bucket: `_before_<name>`, the sum of each value over the key's earlier buckets."""
     totals = bucketed.groupBy(*keys, _BUCKET).agg(*[F.sum(value).alias(name) for name, value in values.items()])
@@ -38,19 +58,7 @@ def bucket_offsets(bucketed, keys, values):
     return totals.select(*keys, _BUCKET, *before)
 
 
-def _carried(summary, carry):
-    if carry is None:
-        return summary
-    return summary.join(carry, [c for c in carry.columns if c in summary.columns], "left")
-
-
-def running_sums(df, keys, order, values, buckets, carry=None):
-    """Adds a column per entry of `values`: its sum up to and including each row within the key.
-
-    `buckets` must not decrease along `order`. `carry` is keyed by columns of
-    `keys`; its other columns reach the rows through the bucket table, so rows
-    are never shuffled by the key alone.
-    """
+def _bucketed_sums(df, keys, order, values, buckets, carry):
     bucketed = with_bucket(df, buckets)
     offsets = _carried(bucket_offsets(bucketed, keys, values), carry)
     within = Window.partitionBy(*keys, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -60,20 +68,40 @@ def running_sums(df, keys, order, values, buckets, carry=None):
     return joined.select(*kept, *sums)
 
 
-def running_count(df, keys, order, out, buckets, carry=None):
+def running_sums(df, keys, order, values, buckets, carry=None, task_rows=TASK_ROWS):
+    """Adds a column per entry of `values`: its sum up to and including each row within the key.
+
+    `buckets` must not decrease along `order`. `carry` is keyed by columns of
+    `keys`; its other columns are added to the rows. Those of hot keys get them
+    through the bucket table, so they are never shuffled by the key alone.
+    """
+    if not keys:
+        return _bucketed_sums(df, keys, order, values, buckets, carry)
+    cold, hot = split_hot(df, keys, task_rows)
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = [F.sum(value).over(within).alias(name) for name, value in values.items()]
+    plain = _carried(cold, carry).select("*", *sums)
+    return plain.unionByName(_bucketed_sums(hot, keys, order, values, buckets, carry))
+
+
+def running_count(df, keys, order, out, buckets, carry=None, task_rows=TASK_ROWS):
     """Adds `out`, the 1-based position of each row within its key."""
-    return running_sums(df, keys, order, {out: F.lit(1).cast("long")}, buckets, carry)
+    return running_sums(df, keys, order, {out: F.lit(1).cast("long")}, buckets, carry, task_rows)
 
 
-def previous_row(df, keys, order, columns, out, buckets, carry=None):
+def previous_row(df, keys, order, columns, out, buckets, carry=None, task_rows=TASK_ROWS):
     """Adds `out`, the struct of `columns` of the row before in the same key, null on the first."""
-    bucketed = with_bucket(df, buckets)
     held = F.struct(*columns)
+    cold, hot = split_hot(df, keys, task_rows)
+    plain = _carried(cold, carry).withColumn(out, F.lag(held).over(Window.partitionBy(*keys).orderBy(*order)))
+
+    bucketed = with_bucket(hot, buckets)
     last = bucketed.groupBy(*keys, _BUCKET).agg(F.max_by(held, F.struct(*order)).alias("_last"))
     last = last.withColumn(_BEFORE, F.lag("_last").over(_over(keys))).drop("_last")
     within = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    return (
+    chained = (
         bucketed.join(_carried(last, carry), [*keys, _BUCKET])
         .withColumn(out, F.coalesce(F.lag(held).over(within), F.col(_BEFORE)))
         .drop(_BUCKET, _BEFORE)
     )
+    return plain.unionByName(chained)

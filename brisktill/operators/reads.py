@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import has_term, loose
 from .joins import bills_with_cashier
+from .ordered import split_hot
 
 PRODUCT_COLUMNS = ("id", "name", "price", "stock", "category", "barcode")
 USER_COLUMNS = ("id", "username", "role", "full_name", "email", "phone", "is_active", "last_login")
@@ -143,22 +144,15 @@ def nest(children, key, order, name, part_size=PART_SIZE):
     built by its own task, so no key grows past what one row can hold.
     """
     fields = [*order, *[c for c in children.columns if c not in order and c != key]]
-    counts = children.groupBy(key).agg(F.count(F.lit(1)).alias("_count"))
-    large = counts.filter(F.col("_count") > part_size).select(
-        key, F.ceil(F.col("_count") / part_size).cast("int").alias("parts")
-    )
+    items = F.sort_array(F.collect_list(F.struct(*fields))).alias(name)
+    cold, hot = split_hot(children, [key], part_size)
+    whole = cold.groupBy(key).agg(items).select(key, F.lit(0).alias("part"), F.lit(1).alias("parts"), name)
+
+    counts = hot.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / part_size).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64(*fields), F.col("parts")).cast("int")
-    spread = (
-        children.join(large, key, "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("part", part)
-    )
     # Without the repartition the grouping would stay on the key alone.
-    return (
-        spread.repartition(key, "part")
-        .groupBy(key, "part", "parts")
-        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
-    )
+    spread = hot.join(counts, key).withColumn("part", part).repartition(key, "part")
+    return whole.unionByName(spread.groupBy(key, "part", "parts").agg(items))
 
 
 def bill_documents(bills, users, items, wanted=None, order=("id",), part_size=PART_SIZE):

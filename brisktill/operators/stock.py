@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.staging import staged
-from .ordered import BUCKET_BITS, bucket, bucket_offsets, running_sums, with_bucket
+from .ordered import BUCKET_BITS, TASK_ROWS, bucket, bucket_offsets, running_sums, with_bucket
 
 
 class Sold(NamedTuple):
@@ -30,14 +30,15 @@ class Sold(NamedTuple):
     used: DataFrame  # product_id, used: quantity taken from stock
 
 
-def apply_stock(lines, products, bits=BUCKET_BITS):
+def apply_stock(lines, products, bits=BUCKET_BITS, task_rows=TASK_ROWS):
     """Sell `lines` (line_id, product_id, quantity) in line_id order against `products` (id, stock)."""
     wanted = lines.filter(F.col("product_id").isNotNull()).select(
         "line_id", "product_id", F.col("quantity").cast("long").alias("quantity")
     )
     shelf = products.select(F.col("id").alias("product_id"), F.col("stock").cast("long").alias("stock"))
     asked = {"asked": F.col("quantity")}
-    walked = staged(running_sums(wanted, ["product_id"], ["line_id"], asked, [bucket("line_id", bits)], carry=shelf))
+    buckets = [bucket("line_id", bits)]
+    walked = staged(running_sums(wanted, ["product_id"], ["line_id"], asked, buckets, shelf, task_rows))
     fits = F.coalesce(F.col("asked") <= F.col("stock"), F.lit(False))
     late = staged(_late_sales(walked, fits, bits))
 

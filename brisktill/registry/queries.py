@@ -9,6 +9,7 @@ from ..schemas import BILL_ITEMS, BILLS
 from ..sources import samples
 from ..sources.documents import parse_bill_documents, split_documents
 from ..sources.seed import empty_table
+from ..sources.staging import staged
 from ..sources.tables import as_json
 from . import requests
 
@@ -677,8 +678,10 @@ def _post(spark, folder):
     existing = paid.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
     return posting.Posting(
         requests.bill_drafts(spark, folder),
-        requests.draft_lines(spark, folder).join(
-            requests.open_bills(spark, folder).select(F.col("id").alias("seq")), "seq", "left_semi"
+        staged(
+            requests.draft_lines(spark, folder).join(
+                requests.open_bills(spark, folder).select(F.col("id").alias("seq")), "seq", "left_semi"
+            )
         ),
         samples.products(spark, folder),
         samples.customers(spark, folder),
