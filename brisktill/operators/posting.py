@@ -126,7 +126,7 @@ class Posting:
     @cached_property
     def _numbered(self):
         valid = self._checked.filter(is_valid()).drop(REASONS)
-        placed = assign_parent_and_child_ids(valid, self._old_bills, self._old_items, F.col("_width"))
+        placed = staged(assign_parent_and_child_ids(valid, self._old_bills, self._old_items, F.col("_width")))
         return staged(assign_bill_numbers(placed, self._old_bills, self._prefix))
 
     @cached_property

@@ -667,7 +667,7 @@ def bill_numbers(spark, folder):
     """Unpaid bills numbered after the paid ones of the same day."""
     paid = requests.paid_bills(spark, folder).withColumnRenamed("id", "seq").drop("bill_number")
     none = empty_table(spark, "bill_number string")
-    existing = numbering.assign_bill_numbers(paid, none)
+    existing = staged(numbering.assign_bill_numbers(paid, none).select("bill_number"))
     drafts = requests.open_bills(spark, folder).withColumnRenamed("id", "seq").drop("bill_number")
     return numbering.assign_bill_numbers(drafts, existing).select("seq", "bill_number")
 

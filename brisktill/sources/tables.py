@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..schemas import TABLES
 
 _VERSIONS = "_versions"
-_VERSION_SCHEMA = "version long, tables array<string>"
+_VERSION_SCHEMA = "version long, tables map<string, array<string>>"
 
 
 def read_table(spark, path, name, fmt="parquet"):
@@ -53,31 +53,47 @@ def published_version(spark, root):
     return spark.read.schema(_VERSION_SCHEMA).json(f"{path}/*").agg(F.max("version")).first()[0]
 
 
+def _entry(spark, root, version):
+    return spark.read.schema(_VERSION_SCHEMA).json(f"{root}/{_VERSIONS}/{version}").first()["tables"]
+
+
 def read_published(spark, root, version=None):
     """The tables of a published version, the newest by default."""
     version = published_version(spark, root) if version is None else version
-    listed = spark.read.schema(_VERSION_SCHEMA).json(f"{root}/{_VERSIONS}/{version}").first()["tables"]
-    return {name: spark.read.parquet(f"{root}/{version}/{name}") for name in listed}
+    listed = _entry(spark, root, version)
+    return {name: spark.read.parquet(*[f"{root}/{path}" for path in paths]) for name, paths in listed.items()}
 
 
-def publish(spark, root, tables, version=None):
-    """Write all tables to a fresh version and only then announce it.
+def publish(spark, root, replaced, appended=None, version=None):
+    """Write tables to a fresh version and only then announce it.
 
-    Readers see all tables of a version or none: a version counts once its
-    entry exists, and the entry is written last. A failed attempt leaves files
-    nobody reads; trying the same version again replaces them.
+    `replaced` tables are written whole; of `appended` tables only the new rows
+    are written, next to the files the version before points at. Tables named
+    in neither stay as they were. Readers see all of a version or none of it: it
+    counts once its entry exists, and the entry is written last. A failed
+    attempt leaves files nobody reads; trying the same version again replaces
+    them, and a version that is already announced is left alone.
     """
+    last = published_version(spark, root) if version is None else _before(spark, root, version)
     if version is None:
-        version = (published_version(spark, root) or 0) + 1
+        version = (last or 0) + 1
     if _exists(spark, f"{root}/{_VERSIONS}/{version}/_SUCCESS"):
         return version
-    for name, df in tables.items():
+    paths = dict(_entry(spark, root, last)) if last else {}
+    for name, df in {**replaced, **(appended or {})}.items():
         df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
-    entry = spark.createDataFrame([(version, sorted(tables))], _VERSION_SCHEMA)
+        kept = [] if name in replaced else list(paths.get(name, []))
+        paths[name] = [*kept, f"{version}/{name}"]
+    entry = spark.createDataFrame([(version, paths)], _VERSION_SCHEMA)
     entry.coalesce(1).write.mode("overwrite").json(f"{root}/{_VERSIONS}/{version}")
     return version
 
 
+def _before(spark, root, version):
+    newest = published_version(spark, root)
+    return newest if newest is None or newest < version else version - 1
+
+
 def _exists(spark, path):
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
