@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import given
 from ..functions.text import trimmed
+from ..sources.staging import staged
 from .numbering import assign_ids
 
 WALK_IN = "Walk-in Customer"
@@ -111,7 +112,7 @@ def find_or_create_customers(drafts, customers):
         .agg(F.min_by("id", F.struct("name", "id")).alias("_known"))
     )
     # One row per phone before the join, so a phone shared by many drafts counts once.
-    firsts = (
+    firsts = staged(
         named.filter(F.col("_phone").isNotNull())
         .groupBy("_phone")
         .agg(

@@ -15,7 +15,9 @@ BUCKET_BITS = 16
 TASK_ROWS = 1 << 20
 
 _BUCKET = "_bucket"
+_COARSE = "_coarse"
 _BEFORE = "_before_"
+_EARLIER = "_earlier_"
 
 
 def bucket(order, bits=BUCKET_BITS):
@@ -39,11 +41,6 @@ def split_hot(df, keys, task_rows=TASK_ROWS):
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
-def _over(keys):
-    # Without keys, all buckets are walked together: n / 2**bits short rows.
-    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_BUCKET)
-
-
 def _carried(rows, carry):
     if carry is None:
         return rows
@@ -51,11 +48,29 @@ def _carried(rows, carry):
 
 
 def bucket_offsets(bucketed, keys, values):
-    """Per key and bucket: `_before_<name>`, the sum of each value over the key's earlier buckets."""
+    """Per key and bucket: `_before_<name>`, the sum of each value over the key's earlier buckets.
+
+    Whole-number buckets are walked in two steps, coarse ones of 2**20 buckets
+    each and then those within, so that a sparse sort column, with as many
+    buckets as rows, is no burden for one task either.
+    """
     totals = bucketed.groupBy(*keys, _BUCKET).agg(*[F.sum(value).alias(name) for name, value in values.items()])
-    earlier = _over(keys).rowsBetween(Window.unboundedPreceding, -1)
-    before = [F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(_BEFORE + name) for name in values]
-    return totals.select(*keys, _BUCKET, *before)
+    if dict(totals.dtypes)[_BUCKET] != "bigint":
+        return _walked(totals, keys, _BUCKET, values, _BEFORE)
+    totals = totals.withColumn(_COARSE, F.shiftright(_BUCKET, 20))
+    coarse = totals.groupBy(*keys, _COARSE).agg(*[F.sum(name).alias(name) for name in values])
+    coarse = _walked(coarse, keys, _COARSE, values, _EARLIER)
+    fine = _walked(totals, [*keys, _COARSE], _BUCKET, values, _BEFORE).join(coarse, [*keys, _COARSE])
+    before = [(F.col(_EARLIER + name) + F.col(_BEFORE + name)).alias(_BEFORE + name) for name in values]
+    return fine.select(*keys, _BUCKET, *before)
+
+
+def _walked(totals, keys, bucket, values, prefix):
+    """Sums over the earlier buckets of the same keys."""
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(bucket)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(prefix + name) for name in values]
+    return totals.select(*keys, bucket, *sums)
 
 
 def _bucketed_sums(df, keys, order, values, buckets, carry):
@@ -97,7 +112,7 @@ def previous_row(df, keys, order, columns, out, buckets, carry=None, task_rows=T
 
     bucketed = with_bucket(hot, buckets)
     last = bucketed.groupBy(*keys, _BUCKET).agg(F.max_by(held, F.struct(*order)).alias("_last"))
-    last = last.withColumn(_BEFORE, F.lag("_last").over(_over(keys))).drop("_last")
+    last = last.withColumn(_BEFORE, F.lag("_last").over(Window.partitionBy(*keys).orderBy(_BUCKET))).drop("_last")
     within = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
     chained = (
         bucketed.join(_carried(last, carry), [*keys, _BUCKET])

@@ -325,7 +325,7 @@ def bill_totals(spark, folder):
         F.col("id").alias("bill_id"),
         F.when(F.col("payment_method") == "upi", 7.5).otherwise(0).cast("decimal(10,2)").alias("shipping_cost"),
     )
-    return pricing.bill_totals(pricing.price_lines(requests.cart_lines(spark, folder)), 13, shipping)
+    return pricing.bill_totals(pricing.price_lines(requests.cart_lines(spark, folder, numbered=False)), 13, shipping)
 
 
 @registered

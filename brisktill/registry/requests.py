@@ -205,11 +205,12 @@ def bill_drafts(spark, folder):
     )
 
 
-def cart_lines(spark, folder):
-    """Items with the name and list price of their product."""
-    items = samples.numbered_items(spark, folder).select(
+def cart_lines(spark, folder, numbered=True):
+    """Items with the name and list price of their product, and with their position in the bill."""
+    items = samples.numbered_items(spark, folder) if numbered else samples.bill_items(spark, folder)
+    items = items.select(
         "bill_id",
-        "position",
+        *(["position"] if numbered else []),
         "product_id",
         F.lit("").alias("product_name"),
         "quantity",

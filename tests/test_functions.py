@@ -1,4 +1,5 @@
 import datetime
+import random
 from decimal import Decimal
 
 import pytest
@@ -49,6 +50,17 @@ def test_has_term_ignores_case_and_accents_and_takes_wildcards_literally(spark):
     assert value(spark, lambda x: text.has_term(x, "%"), *rows) == [False, False, True, False]
 
 
+def test_cheap_search_equals_the_collated_one(spark):
+    random.seed(3)
+    chars = [chr(c) for c in range(32, 127)] + list("éÉßñ\t")
+    words = spark.createDataFrame([("".join(random.choices(chars, k=random.randint(0, 6))),) for _ in range(2000)], "x string")
+    terms = [*(chr(c) for c in range(32, 127)), "aB", "%_", "e-", "' "]
+    slow = [F.contains(text.loose(F.col("x")), text.loose(F.lit(term))) for term in terms]
+    cheap = [text.has_term(F.col("x"), term) for term in terms]
+    wrong = words.select(*[F.count_if(one != other).alias(f"c{i}") for i, (one, other) in enumerate(zip(slow, cheap))])
+    assert set(wrong.first()) == {0}
+
+
 def test_is_email(spark):
     inputs = ["a@b.co", "a.b+c@d-e.org", "a@b", "a b@c.de", "a@@b.co", "a..b@c.de", ".a@c.de", "", None]
     assert value(spark, text.is_email, *inputs) == [True, True] + [False] * 7
