@@ -11,9 +11,14 @@ def _prefix(value, pattern):
     return F.nullif(F.regexp_extract(F.col(value) if isinstance(value, str) else value, pattern, 1), F.lit(""))
 
 
+def leading_number(value):
+    """The leading number of a text, else null."""
+    return _prefix(value, _NUMBER).try_cast("double")
+
+
 def float_value(value):
     """The leading number of a text, else 0."""
-    return F.coalesce(_prefix(value, _NUMBER).try_cast("double"), F.lit(0.0))
+    return F.coalesce(leading_number(value), F.lit(0.0))
 
 
 def int_value(value):

@@ -91,15 +91,16 @@ def document_totals(documents, tax_rate):
         )
 
     rate = F.lit(Decimal(str(tax_rate))).cast("decimal(5,2)")
-    subtotal, discount = total(line_subtotal), total(line_discount)
     shipping = F.coalesce(F.col("shipping_cost").cast("decimal(10,2)"), F.lit(Decimal("0.00")))
+    subtotal = F.col("_subtotal")
     tax = subtotal * rate * _hundredth()
-    return (
-        documents.withColumn("_subtotal", subtotal.cast(TOTAL))
-        .withColumn("_total", (subtotal + tax + shipping).cast(TOTAL))
-        .withColumn("tax_amount", tax.cast(TOTAL))
-        .withColumn("discount_amount", discount.cast(TOTAL))
-        .withColumn("subtotal", F.col("_subtotal"))
-        .withColumn("total_amount", F.col("_total"))
-        .drop("_subtotal", "_total")
-    )
+    # The sums are columns of their own, so that each is computed once.
+    summed = documents.withColumns({"_subtotal": total(line_subtotal), "_discount": total(line_discount)})
+    return summed.withColumns(
+        {
+            "subtotal": subtotal.cast(TOTAL),
+            "discount_amount": F.col("_discount").cast(TOTAL),
+            "tax_amount": tax.cast(TOTAL),
+            "total_amount": (subtotal + tax + shipping).cast(TOTAL),
+        }
+    ).drop("_subtotal", "_discount")

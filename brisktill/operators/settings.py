@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.coerce import float_text, float_value, or_default
+from ..functions.coerce import float_text, float_value, leading_number, or_default
 from ..schemas import SETTING_DEFAULTS
 from .validate import check, is_valid, setting_rules
 
@@ -16,7 +16,7 @@ def settings_map(settings):
 def effective_settings(settings):
     """One row with a column per allowed setting; the default applies when one is missing or empty.
 
-    `tax_rate` is a decimal percentage and 0 is a valid rate.
+    `tax_rate` is a decimal percentage; 0 is a valid rate, and text that is no number counts as missing.
     """
     value = {
         key: F.max(F.when(F.col("setting_key") == key, F.col("setting_value"))).alias(key) for key in SETTING_DEFAULTS
@@ -25,7 +25,10 @@ def effective_settings(settings):
     columns = []
     for key, default in SETTING_DEFAULTS.items():
         text = or_default(F.col(key), default)
-        columns.append((float_value(text).cast("decimal(5,2)") if key == "tax_rate" else text).alias(key))
+        if key == "tax_rate":
+            rate = leading_number(text).try_cast("decimal(5,2)")
+            text = F.coalesce(rate, F.lit(default).cast("decimal(5,2)"))
+        columns.append(text.alias(key))
     return known.select(*columns)
 
 

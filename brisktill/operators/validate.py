@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.coerce import float_value, given, in_range, one_of
+from ..functions.coerce import float_value, given, in_range, one_of, to_money
 from ..functions.text import is_email, loose
 from ..schemas import ENUMS, TEXT_LENGTHS
 
@@ -56,7 +56,12 @@ def required(column):
 
 
 def product_rules():
-    return [required("name"), ("price must be positive", F.col("price") > 0)]
+    price = F.col("price")
+    return [
+        required("name"),
+        ("price must be positive", price > 0),
+        ("price out of range", price.isNull() | to_money(price).isNotNull()),
+    ]
 
 
 def customer_rules():

@@ -513,12 +513,22 @@ ORACLES = {
                   cast(t AS decimal(20,2)) AS tax_amount, shipping_cost, cast(s + t + shipping_cost AS decimal(20,2)) AS total_amount
            FROM taxed""",
     ),
+    "document_totals": sql(
+        "priced",
+        """, sums AS (
+               SELECT bill_id, cast(sum(exact_subtotal) AS decimal(26,6)) AS s, sum(exact_discount) AS d FROM priced GROUP BY bill_id
+           )
+           SELECT bill_id, 0 AS part, cast(s AS decimal(20,2)) AS subtotal, cast(d AS decimal(20,2)) AS discount_amount,
+                  cast(s * 13 * 0.01 AS decimal(20,2)) AS tax_amount,
+                  cast(s + s * 13 * 0.01 + cast(2.5 AS decimal(10,2)) AS decimal(20,2)) AS total_amount
+           FROM sums""",
+    ),
     "customer_stats_rebuild": sql(
         "customers bills",
         """SELECT c.id, c.name, count(b.id) AS total_orders, cast(coalesce(sum(b.total_amount), 0) AS decimal(22,2)) AS total_spent
            FROM customers c LEFT JOIN bills b ON b.customer_id = c.id GROUP BY c.id, c.name""",
     ),
-    "settings_map": f"{_SETTINGS} SELECT * FROM base",
+    "settings_map": f"{_SETTINGS} SELECT * FROM settings",
     "settings_upsert": f"{_SETTINGS} SELECT * FROM settings",
     "settings_outcomes": f"{_SETTINGS} SELECT * FROM outcomes",
     "effective_settings": _SETTINGS

@@ -328,6 +328,15 @@ def bill_totals(spark, folder):
     return pricing.bill_totals(pricing.price_lines(requests.cart_lines(spark, folder, numbered=False)), 13, shipping)
 
 
+@registered
+def document_totals(spark, folder):
+    """Totals of bill documents that keep their priced lines nested."""
+    lines = requests.cart_lines(spark, folder, numbered=False).drop("product_name")
+    documents = reads.nest(lines, "bill_id", ["product_id", "quantity", "discount_percentage"], "items")
+    totals = pricing.document_totals(documents.withColumn("shipping_cost", F.lit(2.5)), 13)
+    return totals.select("bill_id", "part", "subtotal", "discount_amount", "tax_amount", "total_amount")
+
+
 @registered
 def customer_stats_rebuild(spark, folder):
     rebuilt = posting.rebuild_counters(samples.customers(spark, folder), samples.bills(spark, folder))
@@ -339,7 +348,7 @@ def customer_stats_rebuild(spark, folder):
 
 @registered
 def settings_map(spark, folder):
-    stored = settings.settings_map(requests.base_settings(spark, folder)).select(F.explode("settings"))
+    stored = settings.settings_map(settings_upsert(spark, folder)).select(F.explode("settings"))
     return stored.select(F.col("key").alias("setting_key"), F.col("value").alias("setting_value"))
 
 

@@ -50,7 +50,12 @@ def published_version(spark, root):
     path = f"{root}/{_VERSIONS}"
     if not _exists(spark, path):
         return None
-    return spark.read.schema(_VERSION_SCHEMA).json(f"{path}/*").agg(F.max("version")).first()[0]
+    folder, files = _hadoop(spark, path)
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    for version in sorted((int(name) for name in names if name.isdigit()), reverse=True):
+        if _exists(spark, f"{path}/{version}/_SUCCESS"):
+            return version
+    return None
 
 
 def _entry(spark, root, version):
@@ -94,7 +99,17 @@ def _before(spark, root, version):
     return newest if newest is None or newest < version else version - 1
 
 
+def compact(spark, root, names):
+    """Publish tables again in one piece, after many versions have appended to them."""
+    tables = read_published(spark, root)
+    return publish(spark, root, {name: tables[name] for name in names})
+
+
+def _hadoop(spark, path):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _exists(spark, path):
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    target, files = _hadoop(spark, path)
+    return files.exists(target)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators.posting import Posting
 from ..sources.documents import split_documents
+from ..sources.staging import staged
 from ..sources.tables import publish, read_published
 
 
@@ -13,7 +14,8 @@ def post_batch(spark, root, documents, version, prefix="BILL"):
     Bills, items and outcomes are appended, products and customers replaced.
     """
     tables = read_published(spark, root, version - 1)
-    drafts, lines = split_documents(documents)
+    # Staged, so that the source is read and parsed once.
+    drafts, lines = split_documents(staged(documents))
     posting = Posting(
         drafts, lines, tables["products"], tables["customers"], tables["bills"], tables["bill_items"], prefix
     )

@@ -64,6 +64,16 @@ def test_soft_deleted_rows_are_out_of_reach(spark, tables):
     assert status(outcomes) == {1: ("not_found", [])}
 
 
+def test_price_that_does_not_fit_is_rejected(spark, tables):
+    rows = spark.createDataFrame(
+        [(1, "A", 1e12, 1, "c", "", ""), (2, "B", 0.005, 1, "c", "", "")],
+        "seq long, name string, price double, stock int, category string, description string, barcode string",
+    )
+    new, outcomes = changes.create_products(tables["products"], rows)
+    assert status(outcomes) == {1: ("rejected", ["price out of range"]), 2: ("created", [])}
+    assert new.filter("name = 'B'").first()["price"] == Decimal("0.01")
+
+
 def test_text_too_long_is_rejected(spark, tables):
     rows = spark.createDataFrame(
         [(1, "n" * 201, Decimal("1.00"), 1, "c" * 51, "", "b" * 50)],
@@ -155,6 +165,8 @@ def test_effective_settings_accept_a_zero_tax_rate(spark):
     rows = spark.createDataFrame([("tax_rate", "0"), ("theme", "")], "setting_key string, setting_value string")
     row = settings.effective_settings(rows).first()
     assert (row["tax_rate"], row["theme"], row["tax_name"]) == (Decimal("0.00"), "light", "VAT")
+    broken = spark.createDataFrame([("tax_rate", "soon")], "setting_key string, setting_value string")
+    assert settings.effective_settings(broken).first()["tax_rate"] == Decimal("10.00")
     assert settings.effective_settings(rows.filter("false")).first()["tax_rate"] == Decimal("10.00")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from brisktill.schemas import BILL_DOCUMENT, BILL_ITEMS, BILLS, CUSTOMERS
 from brisktill.sources.seed import empty_table, seed_tables
-from brisktill.sources.tables import append_rows, publish, published_version, read_jdbc, read_published, read_table, write_json
+from brisktill.sources.tables import append_rows, compact, publish, published_version, read_jdbc, read_published, read_table, write_json
 from brisktill.streaming.bills import daily_sales, post_documents
 
 
@@ -22,6 +22,9 @@ def test_versions_are_complete_and_append_only_where_asked(spark, tmp_path):
     assert sorted(r["id"] for r in tables["a"].collect()) == [1, 2]
     assert [r["id"] for r in tables["b"].collect()] == [2]
     assert [r["id"] for r in read_published(spark, root, 1)["a"].collect()] == [1]
+    assert compact(spark, root, ["a"]) == 3
+    assert sorted(r["id"] for r in read_published(spark, root)["a"].collect()) == [1, 2]
+    assert [r["id"] for r in read_published(spark, root)["b"].collect()] == [2]
 
 
 def test_an_announced_version_is_left_alone_and_a_failed_one_replaced(spark, tmp_path):
