@@ -19,7 +19,9 @@ def _hundredth():
 
 
 def _gross(quantity, unit_price):
-    return quantity.cast("decimal(10,0)") * unit_price.cast("decimal(10,2)")
+    """Null for a quantity that is not whole: such a line is rejected, not rounded."""
+    whole = F.when(quantity == F.floor(quantity), quantity.cast("decimal(10,0)"))
+    return whole * unit_price.cast("decimal(10,2)")
 
 
 def line_subtotal(quantity, unit_price, discount_percentage):

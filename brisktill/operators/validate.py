@@ -77,10 +77,11 @@ def bill_rules(items="item_count", total="total_amount"):
 
 
 def cart_line_rules():
-    """A cart line names a product and has a quantity and a price."""
+    """A cart line names a product and has a whole quantity and a price."""
     return [
         ("product required", F.col("product_id").isNotNull() | given(F.trim("product_name"))),
         ("quantity required", F.col("quantity") != 0),
+        ("quantity must be whole", F.col("quantity").isNull() | (F.col("quantity") == F.floor("quantity"))),
         ("price required", F.col("unit_price") != 0),
     ]
 

@@ -180,6 +180,23 @@ def test_nested_totals_equal_line_totals(spark):
     assert flat.orderBy("bill_id").first()["subtotal"] == Decimal("22.43")  # 19.095 + 3.33
 
 
+def test_fractional_quantities_are_rejected_and_have_no_price(spark):
+    from brisktill.operators.validate import cart_line_rules, validate
+
+    lines = spark.createDataFrame(
+        [(1, "x", 1.5, 2.0, 0.0), (None, " ", 0.0, 0.0, 0.0), (2, "", 2.0, 3.0, 10.0)],
+        "product_id long, product_name string, quantity double, unit_price double, discount_percentage double",
+    )
+    valid, rejects = validate(lines, cart_line_rules())
+    assert [r["product_id"] for r in valid.collect()] == [2]
+    assert {r["product_id"]: r["reasons"] for r in rejects.collect()} == {
+        1: ["quantity must be whole"],
+        None: ["product required", "quantity required", "price required"],
+    }
+    priced = {r["product_id"]: r["subtotal"] for r in pricing.price_lines(lines).collect()}
+    assert priced == {1: None, None: Decimal("0.00"), 2: Decimal("5.40")}
+
+
 def test_documents_from_json_files(spark, tmp_path):
     (tmp_path / "bills.json").write_text('{"customer_name": "A", "items": [{"quantity": 2}]}\nbroken\n')
     documents = read_bill_documents(spark, str(tmp_path))
