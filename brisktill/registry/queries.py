@@ -387,7 +387,7 @@ def period_keys(spark, folder):
 
 @registered
 def lenient_numbers(spark, folder):
-    """Numbers read from the start of raw page urls, messages and event values."""
+    """Numbers read from the start of event values and properties."""
     events = spark.read.parquet(f"{folder}/events.parquet")
     value = F.when(F.col("event_type") == "error", F.col("props")).otherwise(
         F.concat(F.col("value").cast("decimal(10,2)").cast("string"), "event_type")

@@ -23,7 +23,7 @@ PRODUCTS = [
 ]
 
 SETTINGS = [
-    ("store_name", "B Traders"),
+    ("store_name", "Example Store"),
     ("store_address", "1 Example Street"),
     ("store_phone", "5550100"),
     ("store_email", "store@example.com"),
