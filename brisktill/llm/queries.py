@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import linededup, packing, quality, secrets, simhash
 from .rows import load
 
 
@@ -20,7 +20,25 @@ def op4_simhash_near_dedup(spark, folder):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_secret_scan(spark, folder):
+    """Secrets per document, found by the fixed patterns and by the Markov models."""
+    return secrets.scan(load(spark, folder, "documents"))
+
+
+def op7_line_dedup(spark, folder):
+    """Texts without the lines whose template an earlier document has."""
+    return linededup.dedup(load(spark, folder, "documents")).select("doc_id", "n_dropped", "text")
+
+
+def op8_packing(spark, folder):
+    """Pieces of sequences of at most 1024 tokens."""
+    return packing.digest(packing.pack(load(spark, folder, "documents")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_packing": op8_packing,
 }
