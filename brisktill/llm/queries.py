@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import linededup, packing, quality, secrets, simhash
+from . import langid, linededup, packing, quality, secrets, sharding, simhash
 from .rows import load
 
 
@@ -14,6 +14,11 @@ def op1_quality_rules(spark, folder):
     )
 
 
+def op2_language_id(spark, folder):
+    """Predicted language per document, learned from four fifths of them."""
+    return langid.identify(load(spark, folder, "documents"))
+
+
 def op4_simhash_near_dedup(spark, folder):
     """Fingerprint and component per document: three-word shingles, two differing bits."""
     found = simhash.near_duplicates(load(spark, folder, "documents"), shingle=3, max_distance=2)
@@ -25,6 +30,11 @@ def op5_secret_scan(spark, folder):
     return secrets.scan(load(spark, folder, "documents"))
 
 
+def op6_sharding(spark, folder):
+    """Shard and slot of every document."""
+    return sharding.shards(load(spark, folder, "documents"), 24)
+
+
 def op7_line_dedup(spark, folder):
     """Texts without the lines whose template an earlier document has."""
     return linededup.dedup(load(spark, folder, "documents")).select("doc_id", "n_dropped", "text")
@@ -37,8 +47,10 @@ def op8_packing(spark, folder):
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_sharding": op6_sharding,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
 }
