@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import langid, linededup, packing, quality, secrets, sharding, simhash
+from . import chat, embeddings, langid, linededup, packing, quality, secrets, sharding, simhash
 from .rows import load
 
 
@@ -45,6 +45,19 @@ def op8_packing(spark, folder):
     return packing.digest(packing.pack(load(spark, folder, "documents")))
 
 
+def op9_chat_format(spark, folder):
+    """Every conversation, and one that says control strings, formatted and read back."""
+    own = load(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT -7L AS conv_id, t AS turn, r AS role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
+    return chat.read_back(chat.format_turns(own.unionByName(more)))
+
+
+def op10_embedding_near_dedup(spark, folder):
+    """Links and component per vector: cosine 0.98 within a label."""
+    return embeddings.near_duplicates(load(spark, folder, "embeddings"), 0.98)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -53,4 +66,6 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
+    "op9_chat_format": op9_chat_format,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
