@@ -28,11 +28,14 @@ def _rotation(size, seed):
     return q * np.sign(np.diag(r))
 
 
-def unit(vector):
-    """The vector in double precision at length one; divided by its largest entry first, so that no square over- or underflows."""
-    vector = np.asarray(vector, float)
-    vector = vector / np.abs(vector).max()
-    return vector / np.linalg.norm(vector)
+def _unit_rows(vectors, size):
+    """Arrow lists of `size` numbers in double precision at length one.
+
+    Each is divided by its largest entry first, so that no square over- or underflows.
+    """
+    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+    rows = rows / np.abs(rows).max(1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def _cells(vectors, radius):
@@ -72,11 +75,11 @@ def _blocks(classes, least_cosine, seed):
                 yield from of(batch.slice(part, 512))
 
     def of(batch):
-        keys, labels, vectors = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-        sizes = np.array([len(v) for v in vectors])
+        keys, labels, vectors = batch.columns
+        sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
         for size in np.unique(sizes):
             own = np.flatnonzero(sizes == size)
-            turned = np.array([unit(vectors[i]) for i in own]) @ _rotation(int(size), seed)
+            turned = _unit_rows(vectors.take(pa.array(own)), int(size)) @ _rotation(int(size), seed)
             cuts = list(range(0, int(size), BLOCK)) + [int(size)]
             for block, (a, b) in enumerate(itertools.pairwise(cuts)):
                 coordinates = turned[:, a:b].astype(np.float32).astype(float)
@@ -127,8 +130,13 @@ def cosines(pairs, classes):
 
     @F.arrow_udf("double")
     def cosine(v: pa.Array, w: pa.Array) -> pa.Array:
-        pairs = zip(v.to_pylist(), w.to_pylist(), strict=True)
-        return pa.array([float(unit(x) @ unit(y)) for x, y in pairs], pa.float64())
+        out = np.zeros(len(v))
+        sizes = v.value_lengths().to_numpy(zero_copy_only=False)
+        for size in np.unique(sizes):
+            own = np.flatnonzero(sizes == size)
+            one, two = (_unit_rows(x.take(pa.array(own)), int(size)) for x in (v, w))
+            out[own] = np.einsum("ij,ij->i", one, two)
+        return pa.array(out)
 
     return two.select("a", "b", cosine("v", "w").alias("cosine"))
 

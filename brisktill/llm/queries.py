@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, langid, linededup, packing, quality, secrets, sharding, simhash
+from . import chat, embeddings, langid, linededup, packing, pieces, quality, secrets, sharding, simhash
 from .rows import load
 
 
@@ -19,6 +19,15 @@ def op2_language_id(spark, folder):
     return langid.identify(load(spark, folder, "documents"))
 
 
+def op3_sentencepiece(spark, folder):
+    """Ids of every document, and whether they decode to its text (the space mark of the model counts as a space)."""
+    encoded = pieces.encode(load(spark, folder, "documents").select(F.struct("doc_id", "text").alias("doc"), "text"), "doc")
+    held = encoded.select(F.struct("doc.*", "ids").alias("doc"), "ids")
+    back = pieces.decode(held, "doc")
+    wanted = F.replace(F.coalesce("doc.text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
+    return back.select("doc.doc_id", F.size("doc.ids").cast("long").alias("n_ids"), "doc.ids", (F.col("text") == wanted).alias("round_trip"))
+
+
 def op4_simhash_near_dedup(spark, folder):
     """Fingerprint and component per document: three-word shingles, two differing bits."""
     found = simhash.near_duplicates(load(spark, folder, "documents"), shingle=3, max_distance=2)
@@ -61,6 +70,7 @@ def op10_embedding_near_dedup(spark, folder):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_sharding": op6_sharding,
