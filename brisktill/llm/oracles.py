@@ -1,3 +1,101 @@
-"""SQL that gives the rows of the registered queries, where SQL can."""
+"""SQL (DuckDB) that gives the rows of the registered queries, where SQL can.
 
-ORACLES = {}
+The others need hashes, tokenizers or searches that SQL lacks; tests compare
+those with brute force.
+"""
+
+from .quality import LEAST_DOCUMENTS, RULES, SKETCH_BITS, SPREAD, WINDOW
+from .sharding import ROUNDS
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_SYMBOL = "[#*$%&|<>]"
+
+
+def _quality():
+    ratios = ", ".join(
+        f"CASE WHEN {of} > 0 THEN {n} * {scale} // {of} END AS {name}"
+        for name, (n, _, scale, _, of) in ((r[0], r[1].split()) for r in RULES)
+    )
+    long = " UNION ALL ".join(f"SELECT rid, lang, source, '{r[0]}' AS rule, {r[0]} AS v FROM base WHERE NOT base_failed" for r in RULES)
+    floors = " ".join(f"WHEN '{r[0]}' THEN {r[2]}" for r in RULES)
+    low = ", ".join(f"'{r[0]}'" for r in RULES if r[3])
+    quarters = ", ".join(f"list_sort(list(bucket))[(count(*) * {q} + 3) // 4] AS q{q}" for q in (1, 2, 3))
+
+    def level(depth, keys):
+        return f"level{depth} AS (SELECT {', '.join(['rule', *keys])}, count(*) AS n, {quarters} FROM sketch GROUP BY {', '.join(['rule', *keys])})"
+
+    def chosen(q):
+        return f"CASE WHEN a.n >= {LEAST_DOCUMENTS} THEN a.{q} WHEN b.n >= {LEAST_DOCUMENTS} THEN b.{q} ELSE c.{q} END AS {q}"
+
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, t,
+         regexp_extract_all(t, '{_WORD}') AS words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+win AS (SELECT rid, i, list_slice(words, i, i + {WINDOW - 1}) AS w
+        FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM d)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS c FROM win) WHERE c > 1),
+covered AS (SELECT rid, sum(least({WINDOW}, i - before)) AS n
+            FROM (SELECT rid, i, coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), i - {WINDOW}) AS before FROM twice) GROUP BY rid),
+word AS (SELECT rid, unnest(words) AS w, unnest(range(len(words))) AS p FROM d),
+stutter AS (SELECT rid, count(*) AS n FROM (SELECT rid, w = lag(w) OVER (PARTITION BY rid ORDER BY p) AS same FROM word) WHERE same GROUP BY rid),
+counted AS (
+  SELECT d.rid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(stutter.n, 0) AS BIGINT) AS n_stutters
+  FROM d LEFT JOIN covered ON d.rid = covered.rid LEFT JOIN stutter ON d.rid = stutter.rid),
+base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {ratios} FROM counted),
+long AS ({long}),
+sketch AS (SELECT rule, lang, source, (v >> s) << s AS bucket
+           FROM (SELECT *, greatest(length(bin(v)) - {SKETCH_BITS}, 0) AS s FROM long WHERE v IS NOT NULL)),
+{level(2, ["lang", "source"])},
+{level(1, ["lang"])},
+{level(0, [])},
+best AS (SELECT a.rule, a.lang, a.source, {chosen("q1")}, {chosen("q2")}, {chosen("q3")}
+         FROM level2 a JOIN level1 b ON a.rule = b.rule AND a.lang IS NOT DISTINCT FROM b.lang JOIN level0 c ON a.rule = c.rule),
+fence AS (SELECT rule, lang, source, CASE WHEN rule IN ({low}) THEN q2 - greatest({SPREAD} * (q2 - q1), CASE rule {floors} END) END AS low,
+                 q2 + greatest({SPREAD} * (q3 - q2), CASE rule {floors} END) AS high FROM best),
+out AS (SELECT DISTINCT rid FROM long l JOIN fence f
+        ON l.rule = f.rule AND l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source
+        WHERE v > high OR v < low)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stutters, base_failed,
+       NOT base_failed AND rid NOT IN (SELECT rid FROM out) AS kept
+FROM base"""
+
+
+def _sharding(shards=24, seed=0):
+    def mixed(turn, half):
+        return f"CAST('0x' || substr(md5('{seed}:{turn}:' || CAST({half} AS VARCHAR)), 1, 15) AS BIGINT)"
+
+    body = "SELECT x, cur // b AS l, cur % b AS r, k, a, b, n FROM walk WHERE k = 0 OR cur >= n"
+    for turn in range(ROUNDS):
+        left = f"(l + {mixed(turn, 'r')} % a) % a AS l, r" if turn % 2 == 0 else f"l, (r + {mixed(turn, 'l')} % b) % b AS r"
+        body = f"SELECT x, {left}, k, a, b, n FROM ({body})"
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+d AS (
+  SELECT doc_id, CAST(strlen(t) + 8 AS BIGINT) AS size,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'),
+                                                                lambda h: CAST('0x' || h AS BIGINT))),
+                         lambda c, v: xor(c >> 8, tab[CAST(xor(c, v) & 255 AS INTEGER) + 1])), 4294967295) AS text_crc32
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), crc),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS x FROM d),
+side AS (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a, (n + CAST(ceil(sqrt(n)) AS BIGINT) - 1) // CAST(ceil(sqrt(n)) AS BIGINT) AS b
+         FROM (SELECT count(*) AS n FROM documents)),
+walk AS (
+  SELECT x, x AS cur, 0 AS k, a, b, n FROM numbered, side
+  UNION ALL
+  SELECT x, l * b + r AS cur, k + 1 AS k, a, b, n FROM ({body}))
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(cur % {shards} AS INTEGER) AS shard,
+       CAST(cur // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM numbered JOIN walk ON numbered.x = walk.x AND k > 0 AND cur < n"""
+
+
+ORACLES = {"op1_quality_rules": _quality(), "op6_sharding": _sharding()}
