@@ -306,7 +306,7 @@ def decode(encoded, id_col="doc_id", ids_col="ids", path=None):
         for batch in batches:
             for part in range(0, batch.num_rows, 128):
                 names, lists = batch.slice(part, 128).columns
-                values = [np.zeros(0, np.int32) if x is None else x.values.to_numpy() for x in lists]
+                values = [np.array(x or [], np.int32) for x in lists.to_pylist()]
                 texts = pa.array([pieces(path).decode(v) for v in values], pa.string())
                 yield pa.RecordBatch.from_arrays([names, texts], names=[f.name for f in schema])
 
