@@ -1,4 +1,14 @@
-"""Near-duplicate vectors by a subspace pigeonhole join."""
+"""Near-duplicate vectors by a subspace pigeonhole join.
+
+Unit vectors with cosine c lie `reach` = sqrt(2 - 2c) apart. Where many vectors
+crowd together, their pairs are not listed: vectors on the same sides of some
+random planes through the origin form a cluster around their mean, limited to
+half the reach, so all of its members link. Then each vector meets clusters
+instead of vectors. By the triangle inequality, whole shells of a cluster link
+or don't; only members of shells in doubt, and vectors in no cluster, are
+compared one by one, by their cosine. Clusters change how much is compared,
+never what links.
+"""
 
 import itertools
 
@@ -15,6 +25,13 @@ BLOCK = 8
 GRID = 4
 # Slack of the squared-distance budgets: coordinates are kept in single precision.
 SLACK = 1e-5
+# Planes whose sides make up a cluster's key, and shells of a cluster by distance from its centre.
+PLANES = 16
+SHELLS = 16
+# Distances this close to the reach are in doubt.
+DOUBT = 1e-9
+
+_X = [f"x{i}" for i in range(BLOCK)]
 
 
 def _valid(vector):
@@ -28,14 +45,64 @@ def _rotation(size, seed):
     return q * np.sign(np.diag(r))
 
 
-def _unit_rows(vectors, size):
-    """Arrow lists of `size` numbers in double precision at length one.
+def _by_size(*vectors):
+    """(rows, matrix per column) for each length among Arrow lists of numbers; the columns agree in length."""
+    sizes = vectors[0].value_lengths().to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        lists = [v.take(pa.array(own)) for v in vectors]
+        yield own, [x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size) for x in lists]
+
+
+def _units(classes, seed):
+    """(cls, label, n, size, unit, key): vectors at length one in double precision and the sides of the planes they lie on.
 
     Each is divided by its largest entry first, so that no square over- or underflows.
     """
-    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
-    rows = rows / np.abs(rows).max(1, keepdims=True)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    fields = [T.StructField("cls", T.LongType()), classes.schema["label"], T.StructField("n", T.LongType())]
+    fields += [T.StructField("size", T.IntegerType()), T.StructField("unit", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([*fields, T.StructField("key", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            for own, (rows,) in _by_size(batch.column(3)):
+                rows = rows / np.abs(rows).max(1, keepdims=True)
+                rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+                size = rows.shape[1]
+                sides = (rows @ _rotation(size, seed))[:, :PLANES] > 0
+                keys = sides @ (1 << np.arange(sides.shape[1], dtype=np.int64))
+                ends = np.arange(len(own) + 1, dtype=np.int32) * size
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(i).take(pa.array(own)) for i in range(3)],
+                        pa.array(np.full(len(own), size, np.int32)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel())), pa.array(keys),
+                    ],
+                    names=[f.name for f in schema],
+                )
+
+    return classes.select("cls", "label", "n", "vector").mapInArrow(run, schema)
+
+
+def _per_pair(measure, v, w):
+    """A column of what `measure` gives for the rows of two matrices, of columns of lists that agree in length."""
+
+    @F.arrow_udf("double")
+    def measured(v: pa.Array, w: pa.Array) -> pa.Array:
+        out = np.zeros(len(v))
+        for own, (one, two) in _by_size(v, w):
+            out[own] = measure(one, two)
+        return pa.array(out)
+
+    return measured(v, w)
+
+
+def _distance(v, w):
+    return _per_pair(lambda one, two: np.linalg.norm(one - two, axis=1), v, w)
+
+
+def _cosine(v, w):
+    return _per_pair(lambda one, two: np.einsum("ij,ij->i", one, two), v, w)
 
 
 def _cells(vectors, radius):
@@ -60,14 +127,11 @@ def _cells(vectors, radius):
         yield np.flatnonzero(near), not steps.any(), key
 
 
-def _blocks(classes, least_cosine, seed):
-    """Per class, block and cell touched: (cls, label, size, block, cell, own, x0 ... of the block)."""
-    names = [f"x{i}" for i in range(BLOCK)]
-    fields = [T.StructField("cls", T.LongType()), classes.schema["label"]]
+def _blocks(vectors, reach, seed, spread):
+    """Per vector (id, label, unit) and block: (id, label, size, block, cell, x0 ...), with every cell the ball touches if `spread`."""
+    fields = [T.StructField("id", T.LongType()), vectors.schema["label"]]
     fields += [T.StructField(n, T.IntegerType()) for n in ("size", "block")]
-    fields += [T.StructField("cell", T.LongType()), T.StructField("own", T.BooleanType())]
-    schema = T.StructType([*fields, *[T.StructField(n, T.FloatType()) for n in names]])
-    total = 2 - 2 * least_cosine
+    schema = T.StructType([*fields, T.StructField("cell", T.LongType()), *[T.StructField(n, T.FloatType()) for n in _X]])
 
     def run(batches):
         for batch in batches:
@@ -75,70 +139,113 @@ def _blocks(classes, least_cosine, seed):
                 yield from of(batch.slice(part, 512))
 
     def of(batch):
-        keys, labels, vectors = batch.columns
-        sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
-        for size in np.unique(sizes):
-            own = np.flatnonzero(sizes == size)
-            turned = _unit_rows(vectors.take(pa.array(own)), int(size)) @ _rotation(int(size), seed)
-            cuts = list(range(0, int(size), BLOCK)) + [int(size)]
-            for block, (a, b) in enumerate(itertools.pairwise(cuts)):
-                coordinates = turned[:, a:b].astype(np.float32).astype(float)
-                radius = (total * (b - a) / size * (1 + SLACK)) ** 0.5 + SLACK
+        for own, (rows,) in _by_size(batch.column(2)):
+            size = rows.shape[1]
+            turned = rows @ _rotation(size, seed)
+            for block, a in enumerate(range(0, size, BLOCK)):
+                coordinates = turned[:, a : a + BLOCK].astype(np.float32)
+                width = coordinates.shape[1]
+                radius = reach * (width / size * (1 + SLACK)) ** 0.5 + SLACK
                 padded = np.zeros((len(own), BLOCK), np.float32)
-                padded[:, : b - a] = coordinates
-                for rows, is_own, cells in _cells(coordinates, radius):
-                    if not len(rows):
-                        continue
-                    pick = pa.array(own[rows])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            keys.take(pick), labels.take(pick), pa.array(np.full(len(rows), size, np.int32)),
-                            pa.array(np.full(len(rows), block, np.int32)), pa.array(cells), pa.array([is_own] * len(rows)),
-                            *[pa.array(padded[rows, j]) for j in range(BLOCK)],
-                        ],
-                        names=[f.name for f in schema],
-                    )
-
-    return classes.select("cls", "label", "vector").mapInArrow(run, schema)
-
-
-def candidates(classes, least_cosine, seed=3):
-    """Pairs (a, b) of classes of one label and size that come within a block's budget in some block.
-
-    Unit vectors with cosine c lie 2 - 2c apart, squared. Blocks share that
-    out in proportion to their dimensions, so a pair that keeps to the whole
-    keeps to the share of one block at least. In a block, a vector meets those
-    whose balls touch its grid cell, and the exact block distance decides.
+                padded[:, :width] = coordinates
+                for at, is_own, cells in _cells(coordinates.astype(float), radius):
+                    if len(at) and (is_own or spread):
+                        pick = pa.array(own[at])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                batch.column(0).take(pick), batch.column(1).take(pick),
+                                pa.array(np.full(len(at), size, np.int32)), pa.array(np.full(len(at), block, np.int32)),
+                                pa.array(cells), *[pa.array(padded[at, j]) for j in range(BLOCK)],
+                            ],
+                            names=[f.name for f in schema],
+                        )
+
+    return vectors.mapInArrow(run, schema)
+
+
+def near_pairs(left, right, reach, seed=3, smaller=None):
+    """Pairs (a, b) of rows (id, label, unit) of two tables that may lie within `reach` of each other; none that do is left out.
+
+    Labels and lengths have to agree. Blocks share the squared reach out in
+    proportion to their dimensions, so a pair that keeps to the whole keeps to
+    the share of one block at least. In a block, a vector meets those whose
+    balls touch its grid cell, and the exact block distance decides.
+    `smaller` may name a condition on the ids a and b.
     """
-    rows = staged(_blocks(classes, least_cosine, seed))
-    names = [f"x{i}" for i in range(BLOCK)]
     keys = ["label", "size", "block", "cell"]
-    left = rows.filter("own").select(*keys, F.col("cls").alias("a"), *[F.col(n).alias(f"l{n}") for n in names])
-    right = rows.select(*keys, F.col("cls").alias("b"), *names)
-    apart = sum((F.col(f"l{n}").cast("double") - F.col(n)) ** 2 for n in names)
+    one = _blocks(left, reach, seed, False).withColumnRenamed("id", "a").withColumnsRenamed({n: f"l{n}" for n in _X})
+    two = _blocks(right, reach, seed, True).withColumnRenamed("id", "b")
+    apart = sum((F.col(f"l{n}").cast("double") - F.col(n)) ** 2 for n in _X)
     width = F.least(F.lit(BLOCK), F.col("size") - F.col("block") * BLOCK)
-    budget = (2 - 2 * least_cosine) * width / F.col("size") * (1 + 2 * SLACK) + 2 * SLACK**2
-    met = left.join(right, keys).filter((F.col("a") < F.col("b")) & (apart <= budget))
+    budget = reach**2 * width / F.col("size") * (1 + 2 * SLACK) + 2 * SLACK**2
+    met = staged(one).join(staged(two), keys).filter(F.expr(smaller or "a <> b") & (apart <= budget))
     return met.select("a", "b").distinct()
 
 
-def cosines(pairs, classes):
-    """`pairs` (a, b) with `cosine`, computed from the vectors in double precision."""
-    vectors = classes.select(F.col("cls").alias("c"), "vector")
-    one = pairs.join(vectors.withColumnRenamed("vector", "v"), F.col("a") == F.col("c")).drop("c")
-    two = one.join(vectors.withColumnRenamed("vector", "w"), F.col("b") == F.col("c")).drop("c")
+def _clusters(units, reach):
+    """(members, centres): (cls, c, rho, n) of vectors within half the reach of their key's mean, and (c, label, unit)."""
+    by = ["label", "size", "key"]
+    crowded = staged(units.groupBy(*by).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(*by))
+    own = staged(units.join(crowded, by).select(*by, "cls", "n", "unit"))
+    means = own.select(*by, F.posexplode("unit").alias("at", "x")).groupBy(*by, "at").agg(F.avg("x").alias("x"))
+    centre = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"])
+    centres = staged(means.groupBy(*by).agg(centre.alias("centre")))
+    near = own.join(centres, by).withColumn("rho", _distance("unit", "centre")).filter(F.col("rho") <= reach / 2 - DOUBT)
+    near = staged(near.select(*by, "cls", "n", "rho"))
+    named = staged(near.groupBy(*by).agg(F.min("cls").alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"))
+    members = staged(near.join(named, by).select("cls", "c", "rho", "n"))
+    return members, staged(centres.join(named, by).select(F.col("c").alias("id"), "label", F.col("centre").alias("unit")))
+
+
+def _with_units(pairs, a, b):
+    """Pairs (a, b) with the units of both ids, from tables (id, unit)."""
+    one = pairs.join(a.select(F.col("id").alias("a"), F.col("unit").alias("v")), "a")
+    return one.join(b.select(F.col("id").alias("b"), F.col("unit").alias("w")), "b")
+
+
+def links(units, least_cosine, seed=3):
+    """(counts, edges) of `units`: (cls, others), the linked rows beside a class's own, and (a, b), edges with the same components as all links."""
+    reach = (2 - 2 * least_cosine) ** 0.5
+    members, centres = _clusters(units, reach)
+    all_units = units.select(F.col("cls").alias("id"), "label", "unit")
+    alone = staged(units.join(members.select("cls"), "cls", "left_anti").select(F.col("cls").alias("id"), "label", "unit", "n"))
+
+    # Members of a cluster all link.
+    whole = members.groupBy("c").agg(F.sum("n").alias("w"))
+    inside = members.join(whole, "c").select("cls", (F.col("w") - F.col("n")).alias("others"))
+    tied = members.filter("cls <> c").select(F.col("cls").alias("a"), F.col("c").alias("b"))
+
+    # Each vector against the shells of clusters other than its own.
+    shelled = staged(members.withColumn("shell", F.floor(F.col("rho") / (reach / 2) * SHELLS)))
+    shells = shelled.groupBy("c", "shell").agg(F.max("rho").alias("rho"), F.sum("n").alias("w"), F.min("cls").alias("first"))
+    met = near_pairs(all_units, centres, reach * 1.5, seed, "true")
+    met = met.join(members.select(F.col("cls").alias("a"), F.col("c").alias("own")), "a", "left").filter(~F.col("own").eqNullSafe(F.col("b")))
+    far = _with_units(met.select("a", "b"), all_units, centres).select("a", F.col("b").alias("c"), _distance("v", "w").alias("d"))
+    seen = staged(far.filter(F.col("d") <= reach * 1.5 + DOUBT).join(shells, "c").filter(F.col("d") - F.col("rho") <= reach + DOUBT))
+    sure = F.col("d") + F.col("rho") <= reach - DOUBT
+    certain = seen.filter(sure)
+    doubtful = seen.filter(~sure).select("a", "c", "shell").join(shelled.select("c", "shell", F.col("cls").alias("b")), ["c", "shell"])
+    one_way = _linked(doubtful.select("a", "b"), all_units, all_units, least_cosine)
+
+    # Vectors in no cluster, as seen by each other and by members.
+    lone = alone.select("id", "label", "unit")
+    both_ways = _linked(near_pairs(lone, lone, reach, seed, "a < b"), lone, lone, least_cosine)
+    in_cluster = all_units.join(members.select(F.col("cls").alias("id")), "id", "left_semi")
+    from_inside = _linked(near_pairs(in_cluster, lone, reach, seed), in_cluster, lone, least_cosine)
+    turned = both_ways.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    listed = staged(one_way.unionByName(both_ways).unionByName(turned).unionByName(from_inside))
+
+    weight = units.select(F.col("cls").alias("b"), "n")
+    counted = [inside, certain.select(F.col("a").alias("cls"), F.col("w").alias("others"))]
+    counted.append(listed.join(weight, "b").select(F.col("a").alias("cls"), F.col("n").alias("others")))
+    counts = counted[0].unionByName(counted[1]).unionByName(counted[2]).groupBy("cls").agg(F.sum("others").alias("others"))
+    edges = tied.unionByName(certain.select("a", F.col("first").alias("b"))).unionByName(listed)
+    return counts, edges
 
-    @F.arrow_udf("double")
-    def cosine(v: pa.Array, w: pa.Array) -> pa.Array:
-        out = np.zeros(len(v))
-        sizes = v.value_lengths().to_numpy(zero_copy_only=False)
-        for size in np.unique(sizes):
-            own = np.flatnonzero(sizes == size)
-            one, two = (_unit_rows(x.take(pa.array(own)), int(size)) for x in (v, w))
-            out[own] = np.einsum("ij,ij->i", one, two)
-        return pa.array(out)
 
-    return two.select("a", "b", cosine("v", "w").alias("cosine"))
+def _linked(pairs, a, b, least_cosine):
+    """The pairs whose vectors' cosine, in double precision, is large enough; listed once, for they are read several times."""
+    return staged(_with_units(pairs, a, b).filter(_cosine("v", "w") >= least_cosine).select("a", "b"))
 
 
 def near_duplicates(table, least_cosine=0.98, id_col="vec_id", vector_col="embedding", label_col="label", seed=3):
@@ -163,12 +270,9 @@ def near_duplicates(table, least_cosine=0.98, id_col="vec_id", vector_col="embed
     own = rows.filter("vector is not null")
     classes = own.groupBy("label", "vector").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     classes = staged(classes.withColumn("cls", F.monotonically_increasing_id()))
-    linked = staged(cosines(candidates(classes, least_cosine, seed), classes).filter(F.col("cosine") >= least_cosine).select("a", "b"))
-    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = classes.select(F.col("cls").alias("b"), "n")
-    others = both.join(sizes, "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
-    roots = components(linked).select(F.col("vertex").alias("cls"), "root")
-    tied = classes.join(roots, "cls", "left").join(others, "cls", "left").select(
+    counts, edges = links(staged(_units(classes, seed)), least_cosine, seed)
+    roots = components(edges).select(F.col("vertex").alias("cls"), "root")
+    tied = classes.join(roots, "cls", "left").join(counts, "cls", "left").select(
         "label", "vector", "first", F.coalesce("root", "cls").alias("root"),
         (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
     )

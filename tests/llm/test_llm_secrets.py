@@ -83,7 +83,10 @@ def test_redaction_takes_values_out_and_keeps_the_rest(spark, models):
     docs = fx.clashing(fx.awkward(spark))
     done = secrets.redact(docs, models=models)
     assert done.columns == docs.columns
-    assert sorted(map(repr, done.collect())) == sorted(map(repr, docs.collect()))
+    # One awkward text is a single run of hex digits; the others hold no secret.
+    same = lambda df: sorted(repr(r) for r in df.collect() if r["doc_id"] != 11)
+    assert same(done) == same(docs)
+    assert [r["text"] for r in done.filter("doc_id = 11").collect()] == ["[hex]"]
 
 
 def test_redaction_updates_the_length(spark, frame, models):
