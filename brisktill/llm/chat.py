@@ -87,7 +87,8 @@ def format_turns(turns, paths=None):
     fields = [*own.select("conv_id", "turn").schema, T.StructField("n", T.LongType())]
     fields += [T.StructField(n, T.BinaryType()) for n in ("ids", "mask")]
     fields += [T.StructField(n, T.BinaryType()) for n in ("by_role", "by_text")]
-    encoded = map_batches(own, start, T.StructType(fields))
+    # Staged, for a range sort reads its input twice.
+    encoded = staged(map_batches(own, start, T.StructType(fields)))
     order = [F.col(c) for c in ("conv_id", "turn", "by_role", "by_text")]
     rows = numbered(encoded, order, "row")
     return _placed(staged(rows.drop("by_role", "by_text")))

@@ -13,12 +13,12 @@ WALK = 64
 
 
 def numbered(rows, order, number="row"):
-    """`rows` (staged) with gapless numbers from 0 along `order`, null first, whatever files the rows came in.
+    """`rows` with gapless numbers from 0 along `order`, null first, whatever files the rows came in.
 
     Rows are range-sorted over all tasks, also those of one key: a row's place
     in the table is the last sort column, so equal rows spread. Each task
     counts on from what the partitions before it hold; only one count per
-    partition is added up in one place.
+    partition is added up in one place. `rows` is read twice.
     """
     tie, part, place, first, before = free_names(rows, "tie", "part", "place", "first", "before")
     columns = [*order, F.col(tie)]

@@ -138,5 +138,6 @@ def keep_one(docs, id_col="doc_id", text_col="text", shingle=3, max_distance=2,
     name = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(key).alias("key"))
     texts = keyed.select(name.alias("id"), F.col(text_col).alias("text"))
     found = near_duplicates(texts, "id", "text", shingle, max_distance, seed)
-    stays = found.filter("id.key = component_id.key").select(F.col("id.key").alias("key"))
-    return keyed.join(stays, keyed[key] == stays["key"], "left_semi").drop(key)
+    # The few that go are joined, not the many that stay: a short list spares the texts a shuffle.
+    goes = staged(found.filter("id.key <> component_id.key").select(F.col("id.key").alias("key")))
+    return keyed.join(goes, keyed[key] == goes["key"], "left_anti").drop(key)
