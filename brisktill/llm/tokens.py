@@ -1,6 +1,8 @@
 """Byte-level BPE ids of texts."""
 
 import base64
+import functools
+import json
 
 import numpy as np
 
@@ -24,14 +26,21 @@ class Encoder:
     def __init__(self, path, ranks_path):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            self.added = [token["content"] for token in json.load(f)["added_tokens"]]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The library's tokenizer, loaded by workers that meet an added token's string only."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text):
         """The ids of one text (None or empty: none) as an array of unsigned 32-bit numbers."""
         if text and any(token in text for token in self.added):
