@@ -2,9 +2,9 @@
 
 Unit vectors with cosine c lie `reach` = sqrt(2 - 2c) apart. Where many vectors
 crowd together, their pairs are not listed: vectors on the same sides of some
-random planes through the origin form a cluster around their mean, limited to
-half the reach, so all of its members link. Then each vector meets clusters
-instead of vectors. By the triangle inequality, whole shells of a cluster link
+random planes through the origin give a centre, their mean, and what lies within
+half the reach of a centre is a cluster, all of whose members link. Then each
+vector meets clusters instead of vectors. By the triangle inequality, whole shells of a cluster link
 or don't; only members of shells in doubt, and vectors in no cluster, are
 compared one by one, by their cosine. Clusters change how much is compared,
 never what links.
@@ -25,8 +25,7 @@ BLOCK = 8
 GRID = 4
 # Slack of the squared-distance budgets: coordinates are kept in single precision.
 SLACK = 1e-5
-# Planes whose sides make up a cluster's key, and shells of a cluster by distance from its centre.
-PLANES = 16
+# Shells of a cluster by distance from its centre.
 SHELLS = 16
 # Distances this close to the reach are in doubt.
 DOUBT = 1e-9
@@ -57,11 +56,15 @@ def _by_size(*vectors):
 def _units(classes, seed):
     """(cls, label, n, size, unit, key): vectors at length one in double precision and the sides of the planes they lie on.
 
-    Each is divided by its largest entry first, so that no square over- or underflows.
+    There are as many planes as tell the vectors of the largest label apart,
+    were they spread evenly: with more, a crowd falls to pieces, with fewer,
+    its mean drowns among the others'. Each vector is divided by its largest entry first, so that no square over- or underflows.
     """
     fields = [T.StructField("cls", T.LongType()), classes.schema["label"], T.StructField("n", T.LongType())]
     fields += [T.StructField("size", T.IntegerType()), T.StructField("unit", T.ArrayType(T.DoubleType()))]
     schema = T.StructType([*fields, T.StructField("key", T.LongType())])
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+    planes = min(62, int(largest or 1).bit_length())
 
     def run(batches):
         for batch in batches:
@@ -69,7 +72,7 @@ def _units(classes, seed):
                 rows = rows / np.abs(rows).max(1, keepdims=True)
                 rows /= np.linalg.norm(rows, axis=1, keepdims=True)
                 size = rows.shape[1]
-                sides = (rows @ _rotation(size, seed))[:, :PLANES] > 0
+                sides = (rows @ _rotation(size, seed))[:, :planes] > 0
                 keys = sides @ (1 << np.arange(sides.shape[1], dtype=np.int64))
                 ends = np.arange(len(own) + 1, dtype=np.int32) * size
                 yield pa.RecordBatch.from_arrays(
@@ -182,19 +185,31 @@ def near_pairs(left, right, reach, seed=3, smaller=None):
     return met.select("a", "b").distinct()
 
 
-def _clusters(units, reach):
-    """(members, centres): (cls, c, rho, n) of vectors within half the reach of their key's mean, and (c, label, unit)."""
+def _clusters(units, reach, seed):
+    """(members, centres): (cls, c, rho, n) of vectors within half the reach of a centre, and (id, label, unit).
+
+    Centres are means of vectors with one key. Whatever its own key, a vector
+    belongs to the centre with most vectors near it, so that a crowd which the
+    planes cut up comes together again.
+    """
     by = ["label", "size", "key"]
     crowded = staged(units.groupBy(*by).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(*by))
-    own = staged(units.join(crowded, by).select(*by, "cls", "n", "unit"))
+    own = staged(units.join(crowded, by).select(*by, "cls", "unit"))
     means = own.select(*by, F.posexplode("unit").alias("at", "x")).groupBy(*by, "at").agg(F.avg("x").alias("x"))
     centre = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"])
     centres = staged(means.groupBy(*by).agg(centre.alias("centre")))
-    near = own.join(centres, by).withColumn("rho", _distance("unit", "centre")).filter(F.col("rho") <= reach / 2 - DOUBT)
-    near = staged(near.select(*by, "cls", "n", "rho"))
-    named = staged(near.groupBy(*by).agg(F.min("cls").alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"))
-    members = staged(near.join(named, by).select("cls", "c", "rho", "n"))
-    return members, staged(centres.join(named, by).select(F.col("c").alias("id"), "label", F.col("centre").alias("unit")))
+    half = reach / 2 - DOUBT
+    near = own.join(centres, by).filter(_distance("unit", "centre") <= half)
+    seeds = near.groupBy(*by).agg(F.min("cls").alias("id"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    centres = staged(centres.join(staged(seeds), by).select("id", "label", F.col("centre").alias("unit"), "m"))
+
+    every = units.select(F.col("cls").alias("id"), "label", "unit")
+    met = near_pairs(every, centres.drop("m"), reach / 2, seed, "true")
+    rho = _with_units(met, every, centres).select("a", "b", _distance("v", "w").alias("rho")).filter(F.col("rho") <= half)
+    best = F.max(F.struct("m", (-F.col("b")).alias("minus"), "rho")).alias("best")
+    best = rho.join(centres.select(F.col("id").alias("b"), "m"), "b").groupBy(F.col("a").alias("cls")).agg(best)
+    members = best.join(units.select("cls", "n"), "cls").select("cls", (-F.col("best.minus")).alias("c"), "best.rho", "n")
+    return staged(members), centres.drop("m")
 
 
 def _with_units(pairs, a, b):
@@ -206,46 +221,47 @@ def _with_units(pairs, a, b):
 def links(units, least_cosine, seed=3):
     """(counts, edges) of `units`: (cls, others), the linked rows beside a class's own, and (a, b), edges with the same components as all links."""
     reach = (2 - 2 * least_cosine) ** 0.5
-    members, centres = _clusters(units, reach)
+    members, centres = _clusters(units, reach, seed)
     all_units = units.select(F.col("cls").alias("id"), "label", "unit")
     alone = staged(units.join(members.select("cls"), "cls", "left_anti").select(F.col("cls").alias("id"), "label", "unit", "n"))
 
     # Members of a cluster all link.
-    whole = members.groupBy("c").agg(F.sum("n").alias("w"))
+    whole = staged(members.groupBy("c").agg(F.sum("n").alias("w"), F.min("cls").alias("b")))
     inside = members.join(whole, "c").select("cls", (F.col("w") - F.col("n")).alias("others"))
-    tied = members.filter("cls <> c").select(F.col("cls").alias("a"), F.col("c").alias("b"))
+    tied = members.join(whole, "c").filter("cls <> b").select(F.col("cls").alias("a"), "b")
 
     # Each vector against the shells of clusters other than its own.
     shelled = staged(members.withColumn("shell", F.floor(F.col("rho") / (reach / 2) * SHELLS)))
     shells = shelled.groupBy("c", "shell").agg(F.max("rho").alias("rho"), F.sum("n").alias("w"), F.min("cls").alias("first"))
     met = near_pairs(all_units, centres, reach * 1.5, seed, "true")
     met = met.join(members.select(F.col("cls").alias("a"), F.col("c").alias("own")), "a", "left").filter(~F.col("own").eqNullSafe(F.col("b")))
-    far = _with_units(met.select("a", "b"), all_units, centres).select("a", F.col("b").alias("c"), _distance("v", "w").alias("d"))
+    far = _with_units(met, all_units, centres).select("a", F.col("own").isNull().alias("lone"), F.col("b").alias("c"), _distance("v", "w").alias("d"))
     seen = staged(far.filter(F.col("d") <= reach * 1.5 + DOUBT).join(shells, "c").filter(F.col("d") - F.col("rho") <= reach + DOUBT))
     sure = F.col("d") + F.col("rho") <= reach - DOUBT
     certain = seen.filter(sure)
-    doubtful = seen.filter(~sure).select("a", "c", "shell").join(shelled.select("c", "shell", F.col("cls").alias("b")), ["c", "shell"])
-    one_way = _linked(doubtful.select("a", "b"), all_units, all_units, least_cosine)
+    doubtful = seen.filter(~sure).select("a", "lone", "c", "shell").join(shelled.select("c", "shell", F.col("cls").alias("b")), ["c", "shell"])
+    one_way = _linked(doubtful.select("a", "b", "lone"), all_units, all_units, least_cosine)
 
-    # Vectors in no cluster, as seen by each other and by members.
-    lone = alone.select("id", "label", "unit")
-    both_ways = _linked(near_pairs(lone, lone, reach, seed, "a < b"), lone, lone, least_cosine)
-    in_cluster = all_units.join(members.select(F.col("cls").alias("id")), "id", "left_semi")
-    from_inside = _linked(near_pairs(in_cluster, lone, reach, seed), in_cluster, lone, least_cosine)
-    turned = both_ways.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    listed = staged(one_way.unionByName(both_ways).unionByName(turned).unionByName(from_inside))
+    # Vectors in no cluster link with each other, and clusters' members with them as they with the members.
+    alone_units = alone.select("id", "label", "unit")
+    lone_pairs = near_pairs(alone_units, alone_units, reach, seed, "a < b").withColumn("lone", F.lit(True))
+    listed = one_way.unionByName(_linked(lone_pairs, alone_units, alone_units, least_cosine))
+    turned = listed.filter("lone").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    listed = staged(listed.select("a", "b").unionByName(turned))
+    by_shell = certain.filter("lone").join(alone.select(F.col("id").alias("a"), "n"), "a").groupBy("c", "shell").agg(F.sum("n").alias("others"))
 
     weight = units.select(F.col("cls").alias("b"), "n")
-    counted = [inside, certain.select(F.col("a").alias("cls"), F.col("w").alias("others"))]
-    counted.append(listed.join(weight, "b").select(F.col("a").alias("cls"), F.col("n").alias("others")))
-    counts = counted[0].unionByName(counted[1]).unionByName(counted[2]).groupBy("cls").agg(F.sum("others").alias("others"))
+    counts = inside.unionByName(certain.select(F.col("a").alias("cls"), F.col("w").alias("others")))
+    counts = counts.unionByName(shelled.join(by_shell, ["c", "shell"]).select("cls", "others"))
+    counts = counts.unionByName(listed.join(weight, "b").select(F.col("a").alias("cls"), F.col("n").alias("others")))
+    counts = counts.groupBy("cls").agg(F.sum("others").alias("others"))
     edges = tied.unionByName(certain.select("a", F.col("first").alias("b"))).unionByName(listed)
     return counts, edges
 
 
 def _linked(pairs, a, b, least_cosine):
-    """The pairs whose vectors' cosine, in double precision, is large enough; listed once, for they are read several times."""
-    return staged(_with_units(pairs, a, b).filter(_cosine("v", "w") >= least_cosine).select("a", "b"))
+    """The pairs whose vectors' cosine, in double precision, is large enough."""
+    return staged(_with_units(pairs, a, b).filter(_cosine("v", "w") >= least_cosine).select(*pairs.columns))
 
 
 def near_duplicates(table, least_cosine=0.98, id_col="vec_id", vector_col="embedding", label_col="label", seed=3):
