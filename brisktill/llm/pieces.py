@@ -25,7 +25,7 @@ _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 _MERGES, _UNIGRAM = 2, 1
 # Ids of chunks kept by a worker, and the longest chunk kept.
-_KEPT = 200_000
+_KEPT = 300_000
 _LONGEST = 64
 # Words whose lengths differ by less than a part in this advance together; the shorter ones are padded.
 _PADDING = 16
@@ -59,6 +59,7 @@ class Pieces:
         self.text = [p.piece for p in proto.pieces]
         self.score = np.array([p.score for p in proto.pieces])
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == _NORMAL}
+        self.cost = {piece: -float(self.score[i]) for piece, i in self.ids.items()}
         if any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.ids):
             raise ValueError("a piece crosses words")
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
@@ -105,15 +106,15 @@ class Pieces:
 
     def _merged(self, text):
         """Pieces of a short string by merging: the best-scored neighbours first, of equal ones the leftmost."""
-        parts = list(text)
+        parts, cost = list(text), self.cost
         while len(parts) > 1:
-            best = min(
-                ((-self.score[i], at) for at in range(len(parts) - 1) if (i := self.ids.get(parts[at] + parts[at + 1])) is not None),
-                default=None,
-            )
+            best, at = None, 0
+            for i in range(len(parts) - 1):
+                own = cost.get(parts[i] + parts[i + 1])
+                if own is not None and (best is None or own < best):
+                    best, at = own, i
             if best is None:
                 break
-            at = best[1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
@@ -146,11 +147,12 @@ class Pieces:
         codes = np.zeros((len(words), width), np.uint32)
         for row, word in enumerate(words):
             codes[row, : len(word)] = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
-        prefix = self.prefixes(codes)
-        best = np.full((len(words), width + 1), -np.inf)
-        best[:, 0] = 0
-        step = np.ones((len(words), width + 1), np.int32)
-        piece = np.full((len(words), width + 1), -1, np.int64)
+        # By position, then by word: what is read together lies together.
+        prefix = np.ascontiguousarray(self.prefixes(codes).T)
+        best = np.full((width + 1, len(words)), -np.inf)
+        best[0] = 0
+        step = np.ones((width + 1, len(words)), np.int32)
+        piece = np.full((width + 1, len(words)), -1, np.int64)
         for j in range(1, width + 1):
             rows = np.flatnonzero(lengths >= j)
             here, single = np.full(len(rows), -np.inf), np.zeros(len(rows), bool)
@@ -159,7 +161,7 @@ class Pieces:
                 if length > j or not len(open_):
                     continue
                 i, own = j - length, rows[open_]
-                wanted = prefix[own, j] - prefix[own, i] * self.power[length]
+                wanted = prefix[j, own] - prefix[i, own] * self.power[length]
                 hit = np.flatnonzero(self.marked[wanted >> _MARK_SHIFT])
                 keys, ids = self.keys[length]
                 at = np.minimum(np.searchsorted(keys, wanted[hit]), len(keys) - 1)
@@ -171,39 +173,39 @@ class Pieces:
                     single[open_[hit]] = True
                 own, slot = own[hit], open_[hit]
                 if self.merges:
-                    score = np.where(self._agree(piece[own, i], found), best[own, i], -np.inf)
+                    score = np.where(self._agree(piece[i, own], found), best[i, own], -np.inf)
                 else:
-                    score = best[own, i] + self.score[found]
+                    score = best[i, own] + self.score[found]
                 better = score > here[slot]
                 here[slot[better]] = score[better]
-                step[own[better], j], piece[own[better], j] = length, found[better]
+                step[j, own[better]], piece[j, own[better]] = length, found[better]
                 if self.merges:  # one piece at most survives: such words are done with this position
                     open_ = np.delete(open_, hit[better])
             # A character that is no piece by itself stands alone.
             gap = open_[~single[open_]] if self.merges else np.flatnonzero(~single)
-            score = best[rows[gap], j - 1] + (0 if self.merges else self.unknown_score)
+            score = best[j - 1, rows[gap]] + (0 if self.merges else self.unknown_score)
             better = score > here[gap]
             here[gap[better]] = score[better]
-            step[rows[gap[better]], j], piece[rows[gap[better]], j] = 1, -1
-            best[rows, j] = here
+            step[j, rows[gap[better]]], piece[j, rows[gap[better]]] = 1, -1
+            best[j, rows] = here
         return self._walked_back(words, lengths, step, piece)
 
     def _walked_back(self, words, lengths, step, piece):
         """The ids along the backpointers as little-endian 32-bit numbers; all words step back together."""
         every = np.arange(len(words))
-        out = np.zeros(step.shape, "<i4")
+        out = np.zeros((len(words), len(step)), "<i4")
         at, count, gaps = lengths.copy(), np.zeros(len(words), np.int64), np.zeros(len(words), bool)
         left = every
         while len(left):
-            found = piece[left, at[left]]
+            found = piece[at[left], left]
             count[left] += 1
-            out[left, step.shape[1] - count[left]] = found
+            out[left, len(step) - count[left]] = found
             gaps[left[found < 0]] = True
-            at[left] -= step[left, at[left]]
+            at[left] -= step[at[left], left]
             left = left[at[left] > 0]
-        first = step.shape[1] - count
+        first = len(step) - count
         return [
-            self._walked(words[i], step[i], piece[i]).tobytes() if gaps[i] else out[i, first[i] :].tobytes() for i in every
+            self._walked(words[i], step[:, i], piece[:, i]).tobytes() if gaps[i] else out[i, first[i] :].tobytes() for i in every
         ]
 
     def _walked(self, word, step, piece):
@@ -281,18 +283,27 @@ def _portions(batch):
         yield batch.slice(first)
 
 
-def encode(docs, id_col="doc_id", text_col="text", path=None):
-    """One row (id, ids: array of int) per row of `docs`; a null or empty text has none, an empty table gives no rows."""
+def encode(docs, id_col="doc_id", text_col="text", path=None, checked=False):
+    """One row (id, ids: array of int) per row of `docs`; a null or empty text has none, an empty table gives no rows.
+
+    With `checked` a column round_trip tells whether the ids decode to the
+    text; the model's own mark of a space counts as a space.
+    """
     path = path or tokenizer_path(MODEL)
-    schema = T.StructType([docs.select(id_col).schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    fields = [docs.select(id_col).schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*fields, *([T.StructField("round_trip", T.BooleanType())] if checked else [])])
 
     def run(batches):
         for batch in batches:
             for part in _portions(batch):
-                ids = pieces(path).encode(part.column(1).to_pylist())
+                model, texts = pieces(path), part.column(1).to_pylist()
+                ids = model.encode(texts)
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[f.name for f in schema])
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+                if checked:
+                    same = [model.decode(i) == (t or "").replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
+                    columns.append(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

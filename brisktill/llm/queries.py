@@ -21,11 +21,8 @@ def op2_language_id(spark, folder):
 
 def op3_sentencepiece(spark, folder):
     """Ids of every document, and whether they decode to its text (the space mark of the model counts as a space)."""
-    encoded = pieces.encode(load(spark, folder, "documents").select(F.struct("doc_id", "text").alias("doc"), "text"), "doc")
-    held = encoded.select(F.struct("doc.*", "ids").alias("doc"), "ids")
-    back = pieces.decode(held, "doc")
-    wanted = F.replace(F.coalesce("doc.text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
-    return back.select("doc.doc_id", F.size("doc.ids").cast("long").alias("n_ids"), "doc.ids", (F.col("text") == wanted).alias("round_trip"))
+    found = pieces.encode(load(spark, folder, "documents"), checked=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 def op4_simhash_near_dedup(spark, folder):
