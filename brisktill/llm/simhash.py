@@ -130,11 +130,11 @@ def keep_one(docs, id_col="doc_id", text_col="text", shingle=3, max_distance=2,
     """The rows of `docs`, columns unchanged, with one document left of each group of near-duplicates.
 
     The document with the smallest id stays, of several with that id the first
-    in the table, and of a group without any id the first one. `docs` is read
-    twice and has to give its rows in the same order, as a table does.
+    in the table, and of a group without any id the first one. The rows are
+    stored once with their keys, which both passes read.
     """
     (key,) = free_names(docs, "row_key")
-    keyed = docs.withColumn(key, F.monotonically_increasing_id())
+    keyed = staged(docs.withColumn(key, F.monotonically_increasing_id()))
     name = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(key).alias("key"))
     texts = keyed.select(name.alias("id"), F.col(text_col).alias("text"))
     found = near_duplicates(texts, "id", "text", shingle, max_distance, seed)

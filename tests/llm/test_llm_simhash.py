@@ -93,3 +93,17 @@ def test_components_of_chains_stars_and_loops(spark, frame):
     found = components(frame(edges, "a long, b long")).collect()
     assert {r["vertex"]: r["root"] for r in found} == expected and len(found) == len(members)
     assert components(frame([], "a long, b long")).count() == 0
+
+
+def test_kept_rows_do_not_depend_on_a_second_split(spark, tmp_path):
+    docs = [(i, fx.prose(i // 2, 60)) for i in range(600)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(7, "doc_id").write.parquet(f"{tmp_path}/t")
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    found = simhash.keep_one(spark.read.parquet(f"{tmp_path}/t"))
+    try:
+        spark.conf.set(size, "1k")
+        left = sorted(r["doc_id"] for r in found.collect())
+    finally:
+        spark.conf.set(size, before)
+    assert left == list(range(0, 600, 2))
