@@ -20,24 +20,35 @@ _ASSIGN_LENGTH = 12
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-# Symbols of the models; index 64 stands for the beginning of a string.
-SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
+# Symbols of the models; the index after the last stands for the beginning of a string.
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/=."
 _START = len(SYMBOLS)
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in SYMBOLS]] = np.arange(_START)
-# Strings the models judge: not part of a longer word of any script, with some letters.
-LEAST_LENGTH = 20
+# Strings the models judge: not part of a longer word of any script, with some letters. The ratio decides on the length.
 LEAST_LETTERS = 4
-_CANDIDATE = re.compile(rf"(?<!\w)[A-Za-z0-9_-]{{{LEAST_LENGTH},}}(?!\w)")
-_RUN = re.compile(r"[A-Za-z0-9_-]+")
-# Alphabets of random strings; each has a model of its own and the likeliest counts.
-ALPHABETS = {"hex": SYMBOLS[52:62] + "abcdef", "upper": SYMBOLS[:26] + SYMBOLS[52:62], "any": SYMBOLS}
+# Words of one case, with a number or not, may be of a language that the sample lacks: under this length they are none.
+LEAST_LENGTH = 20
+_WORDS = re.compile(r"(?:[+/=._-]|(?<![A-Za-z0-9])(?:[A-Z]?[a-z]*|[A-Z]+)[0-9]*(?![A-Za-z0-9]))+")
+_CANDIDATE = re.compile(r"(?<![\w+/=.-])[\w+/=.-]+")
+_PART = re.compile(r"[A-Za-z0-9]+")
+_RUN = re.compile(r"[A-Za-z0-9+/=._-]+")
+# Alphabets of random strings; each has a model of its own and the likeliest counts. The last one takes every string.
+ALPHABETS = {
+    "hex": SYMBOLS[52:62] + "abcdef",
+    "upper": SYMBOLS[:26] + SYMBOLS[52:62],
+    "base64": SYMBOLS[:62] + "+/=",
+    "url": SYMBOLS[:64],
+    "any": SYMBOLS,
+}
 ORDINARY = "ordinary"
 MODELS = (*ALPHABETS, ORDINARY)
 
 # Documents that the models are fitted on (about; all if there are fewer), and random strings made per alphabet.
 SAMPLE_DOCUMENTS = 2_000
 MADE = 2_000
+# Judged strings that a worker keeps between texts.
+KEPT_STRINGS = 1 << 17
 # A string is a secret if its log-likelihood ratio reaches both, in nats.
 LEAST_RATIO = 15.0
 LEAST_RATIO_PER_CHARACTER = 1.0
@@ -72,10 +83,11 @@ def _count(cells):
 
 
 def _identifiers(words):
-    """Identifiers as programmers join words: three at a time, in four styles."""
+    """Identifiers as programmers join words, and paths and hosts: three at a time, in eight styles."""
     for i in range(0, len(words) - 2, 3):
         part = [w.lower() for w in words[i : i + 3]]
         yield from ("_".join(part), "-".join(part), "_".join(part).upper(), part[0] + "".join(w.title() for w in part[1:]))
+        yield from ("/" + "/".join(part), ".".join(part), f"//www.{part[0]}.{part[1]}/{part[2]}", f"{part[0]}{len(part[1]) % 10}.{part[2]}")
 
 
 def labelled_strings(text):
@@ -88,7 +100,8 @@ def labelled_strings(text):
         for run in _RUN.findall(text[value:end]):
             yield next(name for name, alphabet in ALPHABETS.items() if set(run) <= set(alphabet)), run
     plain += _RUN.findall(text[at:])
-    for string in (*plain, *_identifiers([w for w in plain if w.isalpha()])):
+    words = [w.strip("+/=._-") for w in plain]
+    for string in (*plain, *_identifiers([w for w in words if w.isalpha()])):
         yield ORDINARY, string
 
 
@@ -146,17 +159,68 @@ def ratio(models, string):
     return float(by_model[:-1].max() - by_model[-1])
 
 
-def all_spans(models, text):
-    """The base spans and, where they leave room, strings that the models take for random."""
+def _random(models, gains, run):
+    """(start, end) of the stretches of a run of symbols that the models take for random.
+
+    A stretch goes from one part of letters and digits to another; the one with
+    the highest ratio is judged, then what lies on either side of it. So the
+    score splits URLs, paths and assignments, and a key with symbols stays whole.
+    """
+    parts = [m.span() for m in _PART.finditer(run)]
+    cells = _cells([run])
+    # Before a part and after it, per model: what all symbols up to there gain over the ordinary model.
+    sums = np.concatenate([np.zeros((len(gains), 1)), np.cumsum(gains[:, cells], 1)], 1)
+    found, todo = [], [(0, len(parts))]
+    while todo:
+        low, high = todo.pop()
+        if low >= high:
+            continue
+        starts, ends = np.array(parts[low:high]).T
+        before, after = sums[:, starts], sums[:, ends]
+        least = np.minimum.accumulate(before, 1)
+        model, last = np.unravel_index((after - least).argmax(), after.shape)
+        first = int(before[model, : last + 1].argmin()) + low
+        last = int(last) + low
+        start, end = parts[first][0], parts[last][1]
+        # Symbols at the ends of the run belong to it, the dot of a sentence does not.
+        if first == 0:
+            start -= len(run[:start]) - len(run[:start].rstrip("+/_-"))
+        if last == len(parts) - 1:
+            end += len(run[end:]) - len(run[end:].lstrip("+/=_-"))
+        string = run[start:end]
+        gain = float(sums[model, parts[last][1]] - sums[model, parts[first][0]])
+        if max(gain, value := ratio(models, string)) < LEAST_RATIO:
+            continue
+        words = len(string) < LEAST_LENGTH and _WORDS.fullmatch(string)
+        if not words and sum(map(str.isalpha, string)) >= LEAST_LETTERS and value >= max(LEAST_RATIO, LEAST_RATIO_PER_CHARACTER * len(string)):
+            found.append((start, end))
+        todo += [(low, first), (last + 1, high)]
+    return found
+
+
+def all_spans(models, text, known=None):
+    """The base spans and, where they leave room, strings that the models take for random.
+
+    `known` keeps what was found in runs seen before.
+    """
+    known = {} if known is None else known
     spans = base_spans(text)
     starts = [start for start, _, _, _ in spans]
     reach = list(itertools.accumulate((end for _, _, end, _ in spans), max))
+    gains = (models[:-1] - models[-1]).reshape(len(MODELS) - 1, -1)
     for m in _CANDIDATE.finditer(text):
-        before = bisect.bisect_left(starts, m.end())  # the base spans that begin before the string ends
-        if sum(map(str.isalpha, m.group())) < LEAST_LETTERS or before and reach[before - 1] > m.start():
+        run = m.group()
+        if len(run) < LEAST_LENGTH and _WORDS.fullmatch(run):  # and so is every stretch of it
             continue
-        if ratio(models, m.group()) >= max(LEAST_RATIO, LEAST_RATIO_PER_CHARACTER * len(m.group())):
-            spans.append((m.start(), 3, m.end(), m.start()))
+        if (inside := known.get(run)) is None:
+            if len(known) >= KEPT_STRINGS:
+                known.clear()
+            inside = known[run] = _random(models, gains, run) if run.isascii() and any(map(str.isalnum, run)) else []
+        for start, end in inside:
+            start, end = m.start() + start, m.start() + end
+            before = bisect.bisect_left(starts, end)  # the base spans that begin before the string ends
+            if not before or reach[before - 1] <= start:
+                spans.append((start, 3, end, start))
     return sorted(spans)
 
 
@@ -193,8 +257,10 @@ def scan(docs, id_col="doc_id", text_col="text", models=None, sample_documents=S
     )
 
     def start():
+        known = {}
+
         def work(batch):
-            found = [all_spans(models, text or "") for text in batch.column(1).to_pylist()]
+            found = [all_spans(models, text or "", known) for text in batch.column(1).to_pylist()]
             counts = [[sum(s[1] == k for s in spans) for spans in found] for k in range(len(KINDS))]
             base = [joined([s for s in spans if KINDS[s[1]] != "random"]) for spans in found]
             digests = [hashlib.sha256(b.encode()).hexdigest() for b in base]
@@ -214,8 +280,10 @@ def redact(docs, text_col="text", length_col="n_chars", models=None, sample_docu
     at = docs.columns.index(text_col)
 
     def start():
+        known = {}
+
         def work(batch):
-            texts = [t if t is None else redacted(t, all_spans(models, t)) for t in batch.column(at).to_pylist()]
+            texts = [t if t is None else redacted(t, all_spans(models, t, known)) for t in batch.column(at).to_pylist()]
             return [texts if i == at else batch.column(i) for i in range(batch.num_columns)]
 
         return work

@@ -97,3 +97,22 @@ def test_redaction_updates_the_length(spark, frame, models):
 def test_empty_table_and_models_without_text(spark):
     assert secrets.scan(fx.empty(spark)).count() == 0
     assert np.isfinite(secrets.fit(fx.empty(spark))).all()
+
+
+def test_keys_with_symbols_and_short_ones_are_found_whole(models):
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    for text in (f"aws_secret_access_key = {key}", f"aws_secret_access_key={key}\n", f"see {key}."):
+        assert key not in secrets.redacted(text, secrets.all_spans(models, text))
+    rng = np.random.default_rng(99)
+    made = ["".join(rng.choice(list(secrets.SYMBOLS[:62] + "+/"), 40)) for _ in range(500)]
+    left = [secrets.redacted(f"a {s} b", secrets.all_spans(models, f"a {s} b")) for s in made]
+    assert np.mean([out == "a [random] b" for out in left]) >= 0.95
+    short = ["".join(rng.choice(list(secrets.SYMBOLS[:62]), 16)) for _ in range(500)]
+    assert np.mean([bool(secrets.all_spans(models, f"a {s} b")) for s in short]) >= 0.9
+
+
+def test_paths_and_hosts_are_no_secrets(models, spark, folder):
+    words = sorted({w for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect() for w in re.findall(r"[A-Za-z]{4,}", r["text"] or "")})
+    rng = random.Random(8)
+    plain = [f"https://www.{'.'.join(rng.choices(words, k=2))}.com/{'/'.join(rng.choices(words, k=4))}.html".lower() for _ in range(300)]
+    assert np.mean([bool(secrets.all_spans(models, s)) for s in plain]) <= 0.01
