@@ -98,4 +98,45 @@ SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CA
 FROM numbered JOIN walk ON numbered.x = walk.x AND k > 0 AND cur < n"""
 
 
-ORACLES = {"op1_quality_rules": _quality(), "op6_sharding": _sharding()}
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+def _contamination():
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS name, {_TERMS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT name, k, array_to_string(w[s:s + k - 1], ' ') AS gram
+            FROM (SELECT name, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),
+grams AS (SELECT rid, k, p, array_to_string(w[p:p + k - 1], ' ') AS gram
+          FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+hits AS (SELECT rid, p, k, name FROM grams JOIN windows USING (k, gram)),
+words AS (SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest(range(p, p + k)) AS place FROM hits) GROUP BY rid),
+names AS (SELECT rid, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT rid, name FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(names.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, words.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN names USING (rid)"""
+
+
+def _ranked():
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, {_TERMS} AS w FROM benchmark),
+asked AS (SELECT DISTINCT iid, term FROM (SELECT iid, unnest(w) AS term FROM i)),
+total AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT rid, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY rid, term),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+           FROM tf, total GROUP BY term, n_docs),
+m AS (SELECT rid, doc_id, 100 - 50 + (50 * CAST(len(w) AS BIGINT) * n_docs) // n_terms AS m FROM d, total WHERE len(w) > 0),
+scores AS (SELECT iid, rid, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+           FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (rid) GROUP BY iid, rid, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN i USING (iid) WHERE rank <= 50"""
+
+
+ORACLES = {
+    "op1_quality_rules": _quality(),
+    "op6_sharding": _sharding(),
+    "op12_benchmark_decontamination": _contamination(),
+    "op13_ranked_search": _ranked(),
+}

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, langid, linededup, packing, pieces, quality, secrets, sharding, simhash
+from . import chat, decontaminate, embeddings, langid, linededup, packing, pieces, quality, ranked, secrets, sharding, simhash
 from .rows import load
 
 
@@ -64,6 +64,18 @@ def op10_embedding_near_dedup(spark, folder):
     return embeddings.near_duplicates(load(spark, folder, "embeddings"), 0.98)
 
 
+def op12_benchmark_decontamination(spark, folder):
+    """Words of every document that lie in a ten-word window of a benchmark item, and the items they come from."""
+    found = decontaminate.contamination(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+    return found.withColumnRenamed("doc", "doc_id")
+
+
+def op13_ranked_search(spark, folder):
+    """The fifty documents that score highest for every benchmark item."""
+    found = ranked.search(load(spark, folder, "documents"), load(spark, folder, "benchmark"), 50)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -75,4 +87,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op12_benchmark_decontamination": op12_benchmark_decontamination,
+    "op13_ranked_search": op13_ranked_search,
 }
