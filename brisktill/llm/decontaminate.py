@@ -155,7 +155,10 @@ def confirmed(lists, asked, payload, reach=0):
 
     Places asked of one list are gathered, met with the list in one step and
     dealt out again. A group holds what is asked of one term in one segment.
+    Lists of terms that nothing asks for stay where they are.
     """
+    asked = staged(asked)
+    lists = lists.join(staged(asked.select("term").distinct()), "term", "left_semi")
     held = F.collect_list(F.struct("place", *payload)).alias("asked")
     joined = lists.join(asked.groupBy("segment", "term").agg(held), ["segment", "term"])
     fields = [T.StructField("segment", T.LongType()), T.StructField("term", T.StringType())]
@@ -231,7 +234,7 @@ def near(index, items, distance, width=WIDTH):
     found = found.select("segment", "item", "k", F.explode("begins").alias("s"), (F.col("origin") + F.col("a")).alias("place"))
     own = words.select("item", "o", "term")
     asked = found.withColumn("o", F.explode(F.sequence("s", F.col("s") + F.col("k") - 1))).join(own, ["item", "o"])
-    asked = staged(asked.drop("o").distinct())
+    asked = asked.drop("o").distinct()
     by = ["segment", "item", "s", "place"]
     needed = asked.groupBy(*by).agg(F.count(F.lit(1)).alias("needed"))
     there = confirmed(index.lists, asked, ["item", "s"], distance).groupBy(*by).agg(F.count(F.lit(1)).alias("there"))
