@@ -66,6 +66,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_st
 FROM base"""
 
 
+_CRC_TABLE = """crc AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def _crc(text):
+    """CRC-32 of a text, beside the table `crc`."""
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'),
+                                                                lambda h: CAST('0x' || h AS BIGINT))),
+                         lambda c, v: xor(c >> 8, tab[CAST(xor(c, v) & 255 AS INTEGER) + 1])), 4294967295)"""
+
+
 def _sharding(shards=24, seed=0):
     def mixed(turn, half):
         return f"CAST('0x' || substr(md5('{seed}:{turn}:' || CAST({half} AS VARCHAR)), 1, 15) AS BIGINT)"
@@ -75,16 +89,9 @@ def _sharding(shards=24, seed=0):
         left = f"(l + {mixed(turn, 'r')} % a) % a AS l, r" if turn % 2 == 0 else f"l, (r + {mixed(turn, 'l')} % b) % b AS r"
         body = f"SELECT x, {left}, k, a, b, n FROM ({body})"
     return rf"""
-WITH RECURSIVE crc AS (
-  SELECT list(c ORDER BY i) AS tab FROM (
-    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
-                          lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
-    FROM (SELECT unnest(range(256)) AS i))),
+WITH RECURSIVE {_CRC_TABLE},
 d AS (
-  SELECT doc_id, CAST(strlen(t) + 8 AS BIGINT) AS size,
-         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'),
-                                                                lambda h: CAST('0x' || h AS BIGINT))),
-                         lambda c, v: xor(c >> 8, tab[CAST(xor(c, v) & 255 AS INTEGER) + 1])), 4294967295) AS text_crc32
+  SELECT doc_id, CAST(strlen(t) + 8 AS BIGINT) AS size, {_crc("t")} AS text_crc32
   FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), crc),
 numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS x FROM d),
 side AS (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a, (n + CAST(ceil(sqrt(n)) AS BIGINT) - 1) // CAST(ceil(sqrt(n)) AS BIGINT) AS b
@@ -134,9 +141,42 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, do
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN i USING (iid) WHERE rank <= 50"""
 
 
+def _trie():
+    return rf"""
+WITH {_CRC_TABLE},
+r AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS i
+      FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, n, c - c % 20 AS base, {_crc("CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT c, count(*) AS n FROM r GROUP BY c), crc),
+turns AS (
+  SELECT a.c, r.i AS d, role, text FROM convs a JOIN r ON r.c = a.base AND r.i <= a.h
+  UNION ALL
+  SELECT a.c, r.i - a.h + least(a.h, coalesce(b.n, 0)) AS d, role, text
+  FROM convs a JOIN r ON r.c = a.c AND r.i > a.h LEFT JOIN convs b ON b.c = a.base),
+paths AS (
+  SELECT c, d, CAST(list(sha256(strlen(role) || ':' || role || text)) OVER (PARTITION BY c ORDER BY d) AS VARCHAR) AS prefix,
+         len(regexp_extract_all(text, '{_WORD}')) AS words FROM turns
+  UNION ALL SELECT c, 0, '', 0 FROM convs),
+found AS (SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM paths GROUP BY d, prefix),
+members AS (SELECT c, d, conv_id FROM paths JOIN found USING (d, prefix)),
+tree AS (SELECT f.conv_id, f.d, f.n_convs, f.words, a.conv_id AS parent FROM found f LEFT JOIN members a ON a.c = f.conv_id AND a.d = f.d - 1),
+children AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS n FROM tree WHERE d > 0 GROUP BY parent, d),
+sums AS (
+  SELECT a.conv_id, a.d, sum((t.n_convs - 1) * t.words) AS saved, count(*) FILTER (WHERE k.n IS NULL) AS leaves
+  FROM tree t JOIN members a ON a.c = t.conv_id AND a.d <= t.d LEFT JOIN children k ON k.conv_id = t.conv_id AND k.d = t.d
+  GROUP BY a.conv_id, a.d),
+ends AS (SELECT a.conv_id, a.d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids
+         FROM members a JOIN (SELECT c, max(d) AS d FROM paths GROUP BY c) USING (c, d) GROUP BY a.conv_id, a.d)
+SELECT t.conv_id, CAST(t.d AS BIGINT) AS depth, t.parent AS parent_conv_id, t.n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children,
+       CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM tree t JOIN sums s ON s.conv_id = t.conv_id AND s.d = t.d
+LEFT JOIN children k ON k.conv_id = t.conv_id AND k.d = t.d LEFT JOIN ends e ON e.conv_id = t.conv_id AND e.d = t.d"""
+
+
 ORACLES = {
     "op1_quality_rules": _quality(),
     "op6_sharding": _sharding(),
+    "op11_prefix_trie": _trie(),
     "op12_benchmark_decontamination": _contamination(),
     "op13_ranked_search": _ranked(),
 }

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, langid, linededup, packing, pieces, quality, ranked, secrets, sharding, simhash
+from . import chat, decontaminate, embeddings, langid, linededup, packing, pieces, quality, ranked, secrets, sharding, simhash, trie
 from .rows import load
 
 
@@ -64,6 +64,15 @@ def op10_embedding_near_dedup(spark, folder):
     return embeddings.near_duplicates(load(spark, folder, "embeddings"), 0.98)
 
 
+def op11_prefix_trie(spark, folder):
+    """Nodes of the trie of all conversations, whose first up to three turns are those of every twentieth one."""
+
+    def head(c):
+        return c - c % 20, F.crc32(c.cast("string").cast("binary")) % 4
+
+    return trie.nodes(load(spark, folder, "conversations"), head)
+
+
 def op12_benchmark_decontamination(spark, folder):
     """Words of every document that lie in a ten-word window of a benchmark item, and the items they come from."""
     found = decontaminate.contamination(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
@@ -87,6 +96,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_benchmark_decontamination": op12_benchmark_decontamination,
     "op13_ranked_search": op13_ranked_search,
 }
