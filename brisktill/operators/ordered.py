@@ -10,6 +10,8 @@ plain window's. Without hot keys their branch is empty and AQE drops it.
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import staged
+
 BUCKET_BITS = 16
 # The most rows of one key that are sorted by one task.
 TASK_ROWS = 1 << 20
@@ -33,11 +35,11 @@ def with_bucket(df, buckets):
 def split_hot(df, keys, task_rows=TASK_ROWS):
     """(rows of ordinary keys, rows of keys with more than `task_rows` rows).
 
-    There are at most rows / task_rows hot keys: a million for 10**12 rows,
-    which is what the broadcast is sized for.
+    The hot keys are counted once and stored, so that Spark knows how many there
+    are before it chooses how to join them.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = F.broadcast(counts.filter(F.col("_rows") > task_rows).select(*keys))
+    hot = staged(counts.filter(F.col("_rows") > task_rows).select(*keys))
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 

@@ -42,12 +42,18 @@ TABLES = {
         SELECT *, cast(quantity AS decimal(10,0)) * unit_price * (100 - discount_percentage) * 0.01 AS exact_subtotal,
                cast(quantity AS decimal(10,0)) * unit_price * discount_percentage * 0.01 AS exact_discount
         FROM cart""",
+    "bills_after": """
+        SELECT * REPLACE (CASE WHEN id % 7 <> 3 THEN payment_method WHEN payment_method = 'cash' THEN 'card'
+                               WHEN payment_method = 'card' THEN 'upi' WHEN payment_method = 'upi' THEN 'credit'
+                               ELSE 'cash' END AS payment_method)
+        FROM bills WHERE NOT (payment_status = 'partial' AND id % 4 = 1)""",
     "item_sums": """
         SELECT product_id, count(*) AS times_sold, cast(sum(quantity) AS bigint) AS qty,
                cast(sum(subtotal) AS decimal(22,2)) AS amount
         FROM items GROUP BY product_id""",
 }
 _NEEDS = {
+    "bills_after": ["bills"],
     "numbered_items": ["items"],
     "cart": ["products", "items", "numbered_items"],
     "priced": ["products", "items", "numbered_items", "cart"],
@@ -78,18 +84,18 @@ def exact_avg(amount):
     )
 
 
-def _sales(key, label, condition="true"):
+def _sales(key, label, condition="true", table="bills"):
     methods = ", ".join(
         f"cast(sum(CASE WHEN payment_method = '{m}' THEN total_amount ELSE 0 END) AS decimal(20,2)) AS {m}_sales"
         for m in ("cash", "card", "upi", "credit")
     )
     return sql(
-        "bills",
+        table,
         f"""
         SELECT cast({key} AS varchar) AS period, {label} AS period_label, count(*) AS bill_count,
                cast(sum(total_amount) AS decimal(20,2)) AS total_sales,
                cast({exact_avg('total_amount')} AS decimal(14,6)) AS avg_sale, {methods}
-        FROM bills WHERE {condition} GROUP BY {key} ORDER BY {key}""",
+        FROM {table} WHERE {condition} GROUP BY {key} ORDER BY {key}""",
     )
 
 
@@ -820,3 +826,67 @@ ORACLES = {
            FROM items WHERE bill_id NOT IN (SELECT id FROM bills WHERE payment_status = 'partial')""",
     ),
 }
+
+# ---- searches for many terms, change sets, states kept up to date, marks
+
+_CHANGE_COLUMNS = (
+    "bill_number customer_id customer_name subtotal total_amount payment_method payment_status created_by created_at"
+).split()
+
+
+def _bill_changes():
+    each = " UNION ALL ".join(
+        f"""SELECT coalesce(o.id, n.id) AS id,
+                   CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete' ELSE 'update' END AS operation,
+                   '{c}' AS "column", cast(o.{c} AS varchar) AS old_value, cast(n.{c} AS varchar) AS new_value
+            FROM before o FULL JOIN bills_after n ON o.id = n.id
+            WHERE o.id IS NULL OR n.id IS NULL OR o.{c} IS DISTINCT FROM n.{c}"""
+        for c in _CHANGE_COLUMNS
+    )
+    return sql("bills bills_after", f", before AS (SELECT * FROM bills WHERE id % 13 <> 5) {each}")
+
+
+ORACLES |= {
+    "product_search_terms": sql(
+        "products",
+        """, named AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN translate(name, 'eo', 'éô') ELSE name END AS name)
+                       FROM products WHERE is_active),
+           own AS (SELECT * FROM products WHERE id % 20 = 0),
+           terms AS (SELECT upper(substr(name, 3, 4)) AS term FROM own UNION SELECT substr(barcode, 6, 2) FROM own
+                     UNION SELECT substr(name, 1, 1) FROM own),
+           found AS (SELECT term, id, name, row_number() OVER (PARTITION BY term ORDER BY strip_accents(lower(name)), id) AS place
+                     FROM terms JOIN named ON contains(strip_accents(lower(name)), strip_accents(lower(term))) OR contains(lower(barcode), lower(term)))
+           SELECT term, cast(place AS int) AS rank, id, name FROM found WHERE place <= 50""",
+    ),
+    "bill_search_terms": sql(
+        "bills customers",
+        """, terms AS (SELECT DISTINCT substr(name, 15, 4) AS term FROM customers WHERE id % 50 = 0),
+           found AS (SELECT term, id, bill_number, row_number() OVER (PARTITION BY term ORDER BY created_at DESC, id DESC) AS place
+                     FROM terms JOIN bills ON contains(lower(bill_number), term) OR contains(lower(customer_name), term))
+           SELECT term, cast(place AS int) AS rank, id, bill_number FROM found WHERE place <= 100""",
+    ),
+    "bill_changes": _bill_changes(),
+    "bill_changes_applied": sql("bills bills_after", f"SELECT * REPLACE ({_STAMP}) FROM bills_after"),
+    "standing_sales_day": _sales(_DAY, "strftime(min(created_at), '%Y-%m-%d')", table="bills_after"),
+    "standing_sales_week": _sales("yearweek(created_at)", _WEEK_LABEL, table="bills_after"),
+    "standing_sales_range": _sales(
+        "strftime(created_at, '%Y-%m')",
+        "strftime(min(created_at), '%Y-%m')",
+        f"{_DAY} BETWEEN DATE '1997-12-20' AND DATE '1999-01-10'",
+        "bills_after",
+    ),
+    "standing_dashboard": sql(
+        "bills_after",
+        f"""SELECT count(*) FILTER (WHERE {_DAY} = DATE '2001-07-31') AS today_bill_count,
+                   cast(coalesce(sum(total_amount) FILTER (WHERE {_DAY} = DATE '2001-07-31'), 0) AS decimal(20,2)) AS today_total_sales,
+                   count(*) AS month_bill_count, cast(coalesce(sum(total_amount), 0) AS decimal(20,2)) AS month_total_sales
+            FROM bills_after WHERE strftime(created_at, '%Y-%m') = '2001-07'""",
+    ),
+    "standing_counters": sql(
+        "customers bills_after",
+        """SELECT c.id, count(b.id) AS total_orders, cast(coalesce(sum(b.total_amount), 0) AS decimal(22,2)) AS total_spent
+           FROM customers c LEFT JOIN bills_after b ON b.customer_id = c.id GROUP BY c.id""",
+    ),
+    "assign_ids_after": ORACLES["assign_ids"],
+    "bill_numbers_after": ORACLES["bill_numbers"],
+}

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import coerce, dates, text
-from ..operators import changes, joins, numbering, posting, pricing, reads, settings, validate
-from ..plans import dashboard, reports
+from ..functions.text import loose
+from ..operators import changes, diff, joins, numbering, posting, pricing, reads, search, settings, validate
+from ..plans import dashboard, reports, standing
 from ..schemas import BILL_ITEMS, BILLS
 from ..sources import samples
 from ..sources.documents import parse_bill_documents, split_documents
@@ -756,3 +757,105 @@ def delete_bills_remaining(spark, folder):
         bills.select(F.lit("bills").alias("table_name"), "row_count", F.col("amount").cast(kind).alias("amount"))
         .unionByName(items.select(F.lit("bill_items").alias("table_name"), "row_count", F.col("amount").cast(kind).alias("amount")))
     )
+
+
+# ---- searches by index, many terms at once
+
+
+@registered
+def product_search_terms(spark, folder):
+    """The first fifty active products for every term, found in name or barcode."""
+    products = requests.accented_products(spark, folder).filter("is_active")
+    index = staged(search.gram_index(products, ["name", "barcode"]))
+    found = search.matches(requests.product_terms(spark, folder), index, products, ["name", "barcode"])
+    return search.best_matches(found, products, [loose(F.col("name")), F.col("id")], 50).select("term", "rank", "id", "name")
+
+
+@registered
+def bill_search_terms(spark, folder):
+    """The newest hundred bills for every term, found in number or customer name."""
+    bills = samples.bills(spark, folder)
+    index = staged(search.gram_index(bills, ["bill_number", "customer_name"]))
+    found = search.matches(requests.bill_terms(spark, folder), index, bills, ["bill_number", "customer_name"])
+    return search.best_matches(found, bills, [F.desc("created_at"), F.desc("id")], 100).select("term", "rank", "id", "bill_number")
+
+
+# ---- differences, and states kept up to date by them
+
+
+def _bill_versions(spark, folder):
+    """Bills before and after a batch: every thirteenth is posted by it, some are edited, some are deleted."""
+    bills = samples.bills(spark, folder)
+    edited, _ = changes.edit_bills(bills, requests.method_changes(spark, folder))
+    doomed = bills.filter((F.col("payment_status") == "partial") & (F.col("id") % 4 == 1)).select("id")
+    after = changes.delete_rows({"bills": edited}, "bills", doomed)["bills"]
+    return bills.filter(F.col("id") % 13 != 5), after
+
+
+def _bill_changes(spark, folder):
+    before, after = _bill_versions(spark, folder)
+    return before, staged(diff.change_set(before, after))
+
+
+@registered
+def bill_changes(spark, folder):
+    """What the batch changes, value by value."""
+    return diff.changed_values(_bill_changes(spark, folder)[1])
+
+
+@registered
+def bill_changes_applied(spark, folder):
+    """The old bills with the change set applied."""
+    return _stamped(diff.apply_changes(*_bill_changes(spark, folder)))
+
+
+def _standing(spark, folder):
+    before, changed = _bill_changes(spark, folder)
+    stored = {name: staged(state) for name, state in standing.states(before).items()}
+    return standing.advanced(stored, changed)
+
+
+def _standing_sales(name, **options):
+    def query(spark, folder):
+        report = standing.sales_report(_standing(spark, folder)["daily_sales"], **options)
+        return report.withColumn("period", F.col("period").cast("string"))
+
+    QUERIES[name] = query
+
+
+_standing_sales("standing_sales_day", group_by="day")
+_standing_sales("standing_sales_week", group_by="week")
+_standing_sales("standing_sales_range", group_by="month", start="1997-12-20", end="1999-01-10")
+
+
+@registered
+def standing_dashboard(spark, folder):
+    return standing.dashboard_sales(_standing(spark, folder)["daily_sales"], AS_OF)
+
+
+@registered
+def standing_counters(spark, folder):
+    sums = _standing(spark, folder)["customer_sums"]
+    return standing.counters(samples.customers(spark, folder), sums).select("id", "total_orders", "total_spent")
+
+
+# ---- numbering from high-water marks
+
+
+@registered
+def assign_ids_after(spark, folder):
+    """Paid bills numbered after the highest supplier key, which a mark holds."""
+    rows = requests.paid_bills(spark, folder).withColumnRenamed("id", "seq")
+    marks = staged(numbering.marks_of({"users": samples.users(spark, folder)}))
+    return numbering.assign_ids_after(rows, marks, "users").select("seq", "id", "bill_number")
+
+
+@registered
+def bill_numbers_after(spark, folder):
+    """Unpaid bills numbered after the paid ones of the same day, from the marks that the paid ones left."""
+    paid = requests.paid_bills(spark, folder).withColumnRenamed("id", "seq").drop("bill_number")
+    none = numbering.marks_of({"bills": empty_table(spark, "id long, bill_number string")})
+    existing = staged(numbering.assign_bill_numbers_after(paid, none).select(F.col("seq").alias("id"), "bill_number"))
+    marks = staged(numbering.advanced_marks(none, {"bills": existing}))
+    drafts = requests.open_bills(spark, folder).withColumnRenamed("id", "seq").drop("bill_number")
+    return numbering.assign_bill_numbers_after(drafts, marks).select("seq", "bill_number")

@@ -93,6 +93,32 @@ def bill_patches(spark, folder):
     )
 
 
+def method_changes(spark, folder):
+    """Every seventh bill is paid by another method than it says."""
+    method = F.col("payment_method")
+    after = F.when(method == "cash", "card").when(method == "card", "upi").when(method == "upi", "credit").otherwise("cash")
+    bills = samples.bills(spark, folder).filter(F.col("id") % 7 == 3)
+    return bills.select(F.col("id").alias("seq"), "id", "customer_name", after.alias("payment_method"), "payment_status")
+
+
+def accented_products(spark, folder):
+    """Products, every third one with accents in its name."""
+    name = F.when(F.col("id") % 3 == 0, F.translate("name", "eo", "éô")).otherwise(F.col("name"))
+    return samples.products(spark, folder).withColumn("name", name)
+
+
+def product_terms(spark, folder):
+    """What people type while they look for every twentieth product: one, two or four characters."""
+    own = samples.products(spark, folder).filter(F.col("id") % 20 == 0)
+    parts = [F.upper(F.substring("name", 3, 4)), F.substring("barcode", 6, 2), F.substring("name", 1, 1)]
+    return own.select(F.explode(F.array(*parts)).alias("term"))
+
+
+def bill_terms(spark, folder):
+    """The last four digits of every fiftieth customer's name, as typed to find their bills."""
+    return samples.customers(spark, folder).filter(F.col("id") % 50 == 0).select(F.substring("name", 15, 4).alias("term"))
+
+
 def new_users(spark, folder):
     taken = F.concat(F.lit("SUPPLIER#"), F.format_string("%09d", "c_custkey"))
     fresh = F.concat("c_mktsegment", F.lit(" "), F.col("c_nationkey").cast("string"))
