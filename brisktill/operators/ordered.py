@@ -4,7 +4,7 @@ A window over a key puts every row of that key in one task, which is fine up to
 some size. Keys with more rows than that are cut into buckets that follow the
 sort order; each bucket is summarised, only the summaries are walked key by
 key, and rows meet their bucket's result on (key, bucket). Results equal the
-plain window's. Without hot keys their branch is empty and AQE drops it.
+plain window's. Without hot keys there is only the plain window.
 """
 
 from pyspark.sql import functions as F
@@ -33,13 +33,17 @@ def with_bucket(df, buckets):
 
 
 def split_hot(df, keys, task_rows=TASK_ROWS):
-    """(rows of ordinary keys, rows of keys with more than `task_rows` rows).
+    """(rows of ordinary keys, rows of keys with more than `task_rows` rows or None if there are none).
 
-    The hot keys are counted once and stored, so that Spark knows how many there
-    are before it chooses how to join them.
+    Keys are counted when this is called. Without hot keys the rows stay as they
+    are and are read once; else the hot keys are stored, so that Spark knows how
+    many there are before it chooses how to join them.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = staged(counts.filter(F.col("_rows") > task_rows).select(*keys))
+    hot = counts.filter(F.col("_rows") > task_rows).select(*keys)
+    if hot.isEmpty():
+        return df, None
+    hot = staged(hot)
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
@@ -98,7 +102,7 @@ def running_sums(df, keys, order, values, buckets, carry=None, task_rows=TASK_RO
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = [F.sum(value).over(within).alias(name) for name, value in values.items()]
     plain = _carried(cold, carry).select("*", *sums)
-    return plain.unionByName(_bucketed_sums(hot, keys, order, values, buckets, carry))
+    return plain if hot is None else plain.unionByName(_bucketed_sums(hot, keys, order, values, buckets, carry))
 
 
 def running_count(df, keys, order, out, buckets, carry=None, task_rows=TASK_ROWS):
@@ -111,6 +115,8 @@ def previous_row(df, keys, order, columns, out, buckets, carry=None, task_rows=T
     held = F.struct(*columns)
     cold, hot = split_hot(df, keys, task_rows)
     plain = _carried(cold, carry).withColumn(out, F.lag(held).over(Window.partitionBy(*keys).orderBy(*order)))
+    if hot is None:
+        return plain
 
     bucketed = with_bucket(hot, buckets)
     last = bucketed.groupBy(*keys, _BUCKET).agg(F.max_by(held, F.struct(*order)).alias("_last"))

@@ -152,6 +152,8 @@ def nest(children, key, order, name, part_size=PART_SIZE):
     items = F.sort_array(F.collect_list(F.struct(*fields))).alias(name)
     cold, hot = split_hot(children, [key], part_size)
     whole = cold.groupBy(key).agg(items).select(key, F.lit(0).alias("part"), F.lit(1).alias("parts"), name)
+    if hot is None:
+        return whole
 
     counts = hot.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / part_size).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64(*fields), F.col("parts")).cast("int")

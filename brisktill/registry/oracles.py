@@ -890,3 +890,43 @@ ORACLES |= {
     "assign_ids_after": ORACLES["assign_ids"],
     "bill_numbers_after": ORACLES["bill_numbers"],
 }
+
+# ---- bills by month, request bodies, stock as the state of a stream
+
+_BODIES = """
+    WITH parts AS (
+        SELECT o_orderkey AS seq, cast(o_custkey AS varchar) AS customer, printf('%.2f', o_totalprice) AS total,
+               concat('{"product_id": ', o_orderkey % 50 + 1, ', "quantity": "', o_orderkey % 7, ' pcs", "unit_price": 1.5}') AS line
+        FROM orders),
+    whole AS (SELECT *, concat('{"customer_id": ', customer, ', "customer_name": "Customer ', customer, '", "total_amount": ', total,
+                               ', "items": [', line, ', ', line, ']}') AS body FROM parts),
+    bodies AS (SELECT seq, CASE seq % 9
+            WHEN 1 THEN concat('{"customer_id": "', customer, 'x", "customer_name": 7, "total_amount": "', total, ' EUR", "items": []}')
+            WHEN 2 THEN substr(body, 1, length(body) - 3) WHEN 3 THEN concat('[', body, ']')
+            WHEN 4 THEN '{"customer_name": {"first": "A"}, "items": null}' WHEN 5 THEN '{"items": {"product_id": 1}}'
+            WHEN 6 THEN '{"items": [4]}' WHEN 7 THEN '' ELSE body END AS body
+        FROM whole),
+    judged AS (SELECT seq, body, CASE WHEN body = '' THEN 'no body' WHEN NOT json_valid(body) THEN 'not JSON'
+            WHEN json_type(body) <> 'OBJECT' THEN 'not an object'
+            WHEN coalesce(json_type(body, '$.items'), 'NULL') NOT IN ('NULL', 'ARRAY') THEN 'items is not a list'
+            WHEN coalesce(json_type(body, '$.items[0]'), 'OBJECT') <> 'OBJECT' THEN 'an item is not an object' END AS reason
+        FROM bodies)"""
+
+
+def _leading(path):
+    return f"coalesce(try_cast(regexp_extract(json_extract_string(body, '{path}'), '^[0-9.]+') AS double), 0)"
+
+
+ORACLES |= {
+    "edit_bills_monthly": ORACLES["edit_bills"],
+    "delete_bills_monthly": ORACLES["delete_bills_remaining"],
+    "bodies_rejected": f"{_BODIES} SELECT seq, reason FROM judged WHERE reason IS NOT NULL",
+    "bodies_read": f"""{_BODIES}
+        SELECT seq, cast({_leading("$.customer_id")} AS bigint) AS customer_id,
+               CASE WHEN json_type(body, '$.customer_name') <> 'OBJECT' THEN json_extract_string(body, '$.customer_name') END AS customer_name,
+               cast({_leading("$.total_amount")} AS decimal(12,2)) AS total_amount,
+               cast(coalesce(json_array_length(body, '$.items'), 0) AS int) AS item_count,
+               cast({_leading("$.items[0].quantity")} + {_leading("$.items[1].quantity")} AS int) AS quantity
+        FROM judged WHERE reason IS NULL""",
+    "stream_sold": ORACLES["post_bills_sold"],
+}

@@ -7,11 +7,12 @@ from ..functions.text import loose
 from ..operators import changes, diff, joins, numbering, posting, pricing, reads, search, settings, validate
 from ..plans import dashboard, reports, standing
 from ..schemas import BILL_ITEMS, BILLS
-from ..sources import samples
-from ..sources.documents import parse_bill_documents, split_documents
+from ..sources import monthly, samples
+from ..sources.documents import parse_bill_documents, parse_bodies, split_documents
 from ..sources.seed import empty_table
-from ..sources.staging import staged
+from ..sources.staging import scratch, staged
 from ..sources.tables import as_json
+from ..streaming.stock import sell_available
 from . import requests
 
 AS_OF = "2001-07-31"
@@ -859,3 +860,70 @@ def bill_numbers_after(spark, folder):
     marks = staged(numbering.advanced_marks(none, {"bills": existing}))
     drafts = requests.open_bills(spark, folder).withColumnRenamed("id", "seq").drop("bill_number")
     return numbering.assign_bill_numbers_after(drafts, marks).select("seq", "bill_number")
+
+
+# ---- months rewritten one by one
+
+
+@registered
+def edit_bills_monthly(spark, folder):
+    """The bills of `edit_bills`, stored by month; only the months of patched bills are rewritten."""
+    path, patches = scratch(spark), requests.bill_patches(spark, folder)
+    monthly.write_bills(samples.bills(spark, folder), path)
+    monthly.update_bills(spark, path, lambda bills: changes.edit_bills(bills, patches)[0], patches)
+    return monthly.read(spark, path).select("id", "customer_name", "payment_method", "payment_status")
+
+
+@registered
+def delete_bills_monthly(spark, folder):
+    """What `delete_bills_remaining` leaves, from bills and items stored by month."""
+    bills, items = samples.bills(spark, folder), samples.bill_items(spark, folder)
+    bills_path, items_path = scratch(spark), scratch(spark)
+    monthly.write_bills(bills, bills_path)
+    monthly.write_items(items, bills, items_path)
+    monthly.delete_bills(spark, bills_path, items_path, bills.filter("payment_status = 'partial'"))
+    sums = [
+        monthly.read(spark, path).agg(F.count(F.lit(1)).alias("row_count"), F.sum(amount).cast("decimal(38,2)").alias("amount")).select(F.lit(name).alias("table_name"), "*")
+        for name, path, amount in (("bills", bills_path, "total_amount"), ("bill_items", items_path, "subtotal"))
+    ]
+    return sums[0].unionByName(sums[1])
+
+
+# ---- request bodies field by field
+
+
+@registered
+def bodies_read(spark, folder):
+    documents, _ = parse_bodies(requests.request_bodies(spark, folder))
+    quantity = F.aggregate("items", F.lit(0.0), lambda total, item: total + item["quantity"])
+    return documents.select(
+        "seq",
+        "customer_id",
+        "customer_name",
+        F.col("total_amount").cast("decimal(12,2)").alias("total_amount"),
+        F.size("items").alias("item_count"),
+        quantity.cast("int").alias("quantity"),
+    )
+
+
+@registered
+def bodies_rejected(spark, folder):
+    return parse_bodies(requests.request_bodies(spark, folder))[1].select("seq", "reason")
+
+
+# ---- stock as the state of a stream
+
+
+@registered
+def stream_sold(spark, folder):
+    """The lines of `post_bills_sold`, which arrive in three files and are sold file by file."""
+    items = _post(spark, folder).bill_items
+    lines = staged(items.filter("product_id is not null").select(F.col("id").alias("line_id"), "product_id", F.col("quantity").cast("long").alias("quantity")))
+    last = lines.agg(F.max("line_id")).first()[0] or 0
+    inbox, out, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    for part in range(3):
+        own = lines.filter(F.least(F.floor(F.col("line_id") * 3 / (last + 1)), F.lit(2)) == part)
+        own.coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    sell_available(stream, samples.products(spark, folder), out, checkpoint, partitions=4)
+    return spark.read.parquet(out).drop("stock")

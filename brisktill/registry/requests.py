@@ -119,6 +119,30 @@ def bill_terms(spark, folder):
     return samples.customers(spark, folder).filter(F.col("id") % 50 == 0).select(F.substring("name", 15, 4).alias("term"))
 
 
+def request_bodies(spark, folder):
+    """Orders as request bodies (seq, body): whole ones, and such as clients get wrong in seven ways."""
+    key, total = F.col("o_orderkey"), F.format_string("%.2f", "o_totalprice")
+    customer = F.col("o_custkey").cast("string")
+    line = F.concat(F.lit('{"product_id": '), (key % 50 + 1).cast("string"), F.lit(', "quantity": "'), (key % 7).cast("string"), F.lit(' pcs", "unit_price": 1.5}'))
+    whole = F.concat(
+        F.lit('{"customer_id": '), customer, F.lit(', "customer_name": "Customer '), customer,
+        F.lit('", "total_amount": '), total, F.lit(', "items": ['), line, F.lit(", "), line, F.lit("]}"),
+    )
+    texts = F.concat(F.lit('{"customer_id": "'), customer, F.lit('x", "customer_name": 7, "total_amount": "'), total, F.lit(' EUR", "items": []}'))
+    kind = F.col("o_orderkey") % 9
+    body = (
+        F.when(kind == 1, texts)
+        .when(kind == 2, F.substr(whole, F.lit(1), F.length(whole) - 3))
+        .when(kind == 3, F.concat(F.lit("["), whole, F.lit("]")))
+        .when(kind == 4, F.lit('{"customer_name": {"first": "A"}, "items": null}'))
+        .when(kind == 5, F.lit('{"items": {"product_id": 1}}'))
+        .when(kind == 6, F.lit('{"items": [4]}'))
+        .when(kind == 7, F.lit(""))
+        .otherwise(whole)
+    )
+    return _orders(spark, folder).select(key.alias("seq"), body.alias("body"))
+
+
 def new_users(spark, folder):
     taken = F.concat(F.lit("SUPPLIER#"), F.format_string("%09d", "c_custkey"))
     fresh = F.concat("c_mktsegment", F.lit(" "), F.col("c_nationkey").cast("string"))

@@ -16,6 +16,11 @@ def _folder(spark):
     return spark.sparkContext.getCheckpointDir()
 
 
+def scratch(spark):
+    """A fresh path in the shared folder."""
+    return f"{_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+
+
 def staged(df):
     """Compute `df` once, as a table in the cluster's shared checkpoint folder, and go on from there.
 
@@ -24,6 +29,6 @@ def staged(df):
     its size is known to the planner.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

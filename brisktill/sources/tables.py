@@ -1,10 +1,14 @@
 """Reading and writing tables, and publishing a consistent set of them."""
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES
 
 _VERSIONS = "_versions"
+_CLAIMS = "_claims"
 _VERSION_SCHEMA = "version long, tables map<string, array<string>>"
 
 
@@ -69,7 +73,26 @@ def read_published(spark, root, version=None):
     return {name: spark.read.parquet(*[f"{root}/{path}" for path in paths]) for name, paths in listed.items()}
 
 
-def publish(spark, root, replaced, appended=None, version=None):
+class VersionTaken(RuntimeError):
+    """Another writer is publishing, or has published, this version."""
+
+
+def _claim(spark, root, version, owner, takeover):
+    """Take the version for `owner` by a marker that only one writer can create."""
+    target, files = _hadoop(spark, f"{root}/{_CLAIMS}/{version}")
+    try:
+        out = files.create(target, takeover)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in str(error.java_exception):
+            raise
+        if spark.read.text(f"{root}/{_CLAIMS}/{version}").first()[0] == owner:
+            return
+        raise VersionTaken(f"version {version} of {root} is another writer's") from None
+    out.write(owner.encode())
+    out.close()
+
+
+def publish(spark, root, replaced, appended=None, version=None, owner=None, takeover=False):
     """Write tables to a fresh version and only then announce it.
 
     `replaced` tables are written whole; of `appended` tables only the new rows
@@ -78,12 +101,20 @@ def publish(spark, root, replaced, appended=None, version=None):
     counts once its entry exists, and the entry is written last. A failed
     attempt leaves files nobody reads; trying the same version again replaces
     them, and a version that is already announced is left alone.
+
+    A version belongs to the writer that claims it first, by a marker made before
+    anything is written; a second writer gets `VersionTaken` and has written
+    nothing. Without a version each call is a writer of its own, and `takeover` takes the next version from one
+    that broke off; with a version the writer is `owner`, or whoever names the
+    version, and may try again. The store has to create files exclusively (HDFS and local files do).
     """
+    owner = owner or (uuid.uuid4().hex if version is None else f"version {version}")
     last = published_version(spark, root) if version is None else _before(spark, root, version)
     if version is None:
         version = (last or 0) + 1
     if _exists(spark, f"{root}/{_VERSIONS}/{version}/_SUCCESS"):
         return version
+    _claim(spark, root, version, owner, takeover)
     paths = dict(_entry(spark, root, last)) if last else {}
     for name, df in {**replaced, **(appended or {})}.items():
         df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")

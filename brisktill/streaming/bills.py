@@ -8,7 +8,7 @@ from ..sources.staging import staged
 from ..sources.tables import publish, read_published
 
 
-def post_batch(spark, root, documents, version, prefix="BILL"):
+def post_batch(spark, root, documents, version, prefix="BILL", owner=None):
     """Post bill documents against the published tables and publish the result as `version`.
 
     Bills, items and outcomes are appended, products and customers replaced.
@@ -28,6 +28,7 @@ def post_batch(spark, root, documents, version, prefix="BILL"):
         {"products": posting.products, "customers": customers},
         {"bills": posting.bills, "bill_items": posting.bill_items, "outcomes": posting.outcomes},
         version,
+        owner,
     )
 
 
@@ -39,7 +40,7 @@ def post_documents(documents, root, checkpoint, first_version=2, **options):
     """
 
     def post(batch, number):
-        post_batch(batch.sparkSession, root, batch, first_version + number)
+        post_batch(batch.sparkSession, root, batch, first_version + number, owner=f"stream {checkpoint}")
 
     return documents.writeStream.foreachBatch(post).option("checkpointLocation", checkpoint).start(**options)
 
