@@ -1,7 +1,9 @@
 """Line dedup across documents by a fixed-depth template tree."""
 
+import itertools
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
@@ -15,11 +17,11 @@ DEPTH = 8
 # Shorter lines coincide without being copied: they recur only once so many documents have them.
 LEAST_TOKENS = 5
 COMMON_DOCUMENTS = 10
-# The tail of a line is compared with that of its leaf's first line by segments; so many have to agree.
+# The tail of a line is compared with that of its leaf's first line by segments; half of those with a
+# token have to agree, and so many at least.
 SEGMENTS = 8
-LEAST_ALIKE = 4
+LEAST_ALIKE = 2
 
-_FIELD = re.compile(r"\S*\d\S*")
 _DIGIT = re.compile(r"\d")
 WILD = "<*>"
 _SIGN = 1 << 63
@@ -55,36 +57,42 @@ def whole(tokens):
 
 
 def template(line, depth=DEPTH):
-    """(line hash, leaf hash, tail signature) of a line, or None if it is too short for a tail.
+    """(line hash, leaf hash, two halves of the tail's signature, segments with a token) of a line, or None if it is too short.
 
-    The leaf is the path of the token count and the leading tokens. The signature has a byte for each segment of the tail.
+    The leaf is the path of the token count and the leading tokens. The
+    signature has 16 bits for each segment of the tail; a tail of fewer
+    tokens than segments has one token in each of the first ones.
     """
     tokens = tokens_of(line)
     if len(tokens) < LEAST_TOKENS:
         return None
     tail = tokens[depth:]
-    cuts = [len(tail) * i // SEGMENTS for i in range(SEGMENTS + 1)]
-    parts = [xxhash.xxh32_intdigest(" ".join(tail[a:b])) & 255 for a, b in zip(cuts, cuts[1:], strict=False)]
+    filled = min(len(tail), SEGMENTS)
+    cuts = [len(tail) * i // max(filled, 1) for i in range(filled + 1)]
+    parts = [xxhash.xxh32_intdigest(" ".join(tail[a:b])) & 0xFFFF for a, b in itertools.pairwise(cuts)]
+    parts += [0] * (SEGMENTS - filled)
+    halves = [int.from_bytes(np.array(parts[i : i + 4], ">u2").tobytes(), "big", signed=True) for i in (0, 4)]
     leaf = _hash(f"{len(tokens)} " + " ".join(tokens[:depth]))
-    return whole(tokens), leaf, int.from_bytes(parts, "big", signed=False) - (parts[0] >> 7 << 64)
+    return whole(tokens), leaf, *halves, filled
 
 
-def alike(a, b):
-    """The number of segments on which two signatures agree."""
-    different = F.lit(0)
-    for i in range(SEGMENTS):
-        part = F.shiftrightunsigned(a.bitwiseXOR(b), 8 * i).bitwiseAND(F.lit(255))
-        different += (part != 0).cast("int")
-    return SEGMENTS - different
+def alike(a, b, filled):
+    """Whether half of the `filled` segments, and `LEAST_ALIKE` at least, agree between two signatures (pairs of halves)."""
+    same = filled - SEGMENTS
+    for x, y in zip(a, b, strict=True):
+        for i in range(4):
+            part = F.shiftrightunsigned(x.bitwiseXOR(y), 16 * i).bitwiseAND(F.lit(0xFFFF))
+            same += (part == 0).cast("int")
+    return (2 * same >= filled) & (same >= LEAST_ALIKE)
 
 
 def lines(docs, key, id_col, text_col, depth=DEPTH):
-    """One row (key, doc, line number from 0, line hash, leaf, tail) per line with a token; short ones have no leaf and tail."""
+    """One row (key, doc, line number from 0, line hash, leaf, tail signature) per line with a token; short ones have no leaf and tail."""
     schema = T.StructType(
         [
             T.StructField("key", T.LongType()),
             T.StructField("doc", docs.schema[id_col].dataType),
-            *[T.StructField(n, T.LongType()) for n in ("line", "exact", "leaf", "tail")],
+            *[T.StructField(n, T.LongType()) for n in ("line", "exact", "leaf", "tail", "rest", "filled")],
         ]
     )
 
@@ -93,12 +101,12 @@ def lines(docs, key, id_col, text_col, depth=DEPTH):
             rows, source = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for number, line in enumerate((text or "").split("\n")):
-                    if found := template(line, depth) or ((short := tokens_of(line)) and (whole(short), None, None)):
+                    if found := template(line, depth) or ((short := tokens_of(line)) and (whole(short), *[None] * 4)):
                         rows.append((number, *found))
                         source.append(i)
             source = pa.array(source, pa.int64())
             keys, names = batch.column(0).take(source), batch.column(1).take(source)
-            return [keys, names, *(zip(*rows, strict=True) if rows else ([], [], [], []))]
+            return [keys, names, *(zip(*rows, strict=True) if rows else [[]] * 6)]
 
         return work
 
@@ -122,17 +130,19 @@ def recurring(rows):
 
     Earlier is a smaller id; a null id comes last. A line recurs if an earlier
     document has the same line but for variable fields, or if the first line of
-    its leaf is an earlier document's and agrees on `LEAST_ALIKE` of the tail's
-    segments. A line of fewer than `LEAST_TOKENS` tokens has to be the same in
+    its leaf (of several in its document, the top one) is an earlier document's and agrees on half of the segments of the tail that hold a token,
+    and on `LEAST_ALIKE` at least. A line of fewer than `LEAST_TOKENS` tokens has to be the same in
     `COMMON_DOCUMENTS` documents.
     """
     later = (F.col("doc") > F.col("first")) | F.col("doc").isNull()
     short, rows = rows.filter("leaf is null"), rows.filter("leaf is not null")
     shared = staged(_shared(rows, "exact").unionByName(_common(short)))
     same = rows.unionByName(short).join(shared, "exact").filter(later).select("key", "line")
-    in_leaf = staged(rows.join(staged(_shared(rows, "leaf")), "leaf").select("key", "line", "leaf", "tail", later.alias("later")))
-    model = staged(in_leaf.filter("not later").groupBy("leaf").agg(F.min("tail").alias("model")))
-    close = in_leaf.filter("later").join(model, "leaf").filter(alike(F.col("tail"), F.col("model")) >= LEAST_ALIKE)
+    in_leaf = staged(rows.join(staged(_shared(rows, "leaf")), "leaf").select("key", "line", "leaf", "tail", "rest", "filled", later.alias("later")))
+    top = F.min(F.struct("line", "tail", "rest"))
+    model = staged(in_leaf.filter("not later").groupBy("leaf").agg(top.alias("top")).select("leaf", "top.tail", "top.rest").toDF("leaf", "tail0", "rest0"))
+    signature = (F.col("tail"), F.col("rest")), (F.col("tail0"), F.col("rest0"))
+    close = in_leaf.filter("later").join(model, "leaf").filter(alike(*signature, F.col("filled")))
     return same.unionByName(close.select("key", "line"))
 
 

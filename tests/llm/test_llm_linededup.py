@@ -1,3 +1,4 @@
+import re
 from collections import defaultdict
 
 import llm_fixtures as fx
@@ -6,22 +7,41 @@ from brisktill.llm import linededup
 from brisktill.llm.queries import QUERIES
 
 
+def words_of(line):
+    """Words with digits are wild unless they are most of the line; written from the words, not from the operator's keys."""
+    words = re.findall(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]|[^\s\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+", line)
+    wild = ["*" if re.search(r"\d", w) else w for w in words]
+    return tuple(wild if 2 * sum(bool(re.search(r"\d", w)) for w in words) <= len(words) else words)
+
+
+def agree(a, b):
+    """Whether two tails of one length agree on half of their (at most eight) pieces, and on two at least."""
+    n = min(len(a), 8)
+    pieces = [(len(a) * i // n, len(a) * (i + 1) // n) for i in range(n)]
+    same = sum(a[x:y] == b[x:y] for x, y in pieces)
+    return 2 * same >= n and same >= 2
+
+
 def brute(docs):
     """[(id, text)] to [(id, lines dropped, rest)] by walking all lines; a null id is a document, the last one."""
     rank = lambda i: (i is None, i or 0)
-    rows = [(n, k, rank(i), *found) for n, (i, t) in enumerate(docs) for k, line in enumerate((t or "").split("\n")) if (found := linededup.template(line))]
-    first, model = {}, {}
-    for _, _, doc, exact, leaf, _ in rows:
-        for key in (("exact", exact), ("leaf", leaf)):
-            first[key] = min(first.get(key, doc), doc)
-    for _, _, doc, _, leaf, tail in rows:
-        if first["leaf", leaf] == doc:
-            model[leaf] = min(model.get(leaf, tail), tail)
+    rows = [(n, k, rank(i), found) for n, (i, t) in enumerate(docs) for k, line in enumerate((t or "").split("\n")) if (found := words_of(line))]
+    whole, leaves, holders = {}, {}, defaultdict(set)
+    for n, k, doc, words in rows:
+        if len(words) < 5:
+            holders[words].add(doc)
+            continue
+        whole[words] = min(whole.get(words, doc), doc)
+        leaf = (len(words), words[:8])
+        leaves[leaf] = min(leaves.get(leaf, (doc, k, words)), (doc, k, words))
     drop = defaultdict(set)
-    for n, k, doc, exact, leaf, tail in rows:
-        apart = (tail ^ model[leaf]) % (1 << 64)
-        close = sum(not apart >> 8 * i & 255 for i in range(8)) >= linededup.LEAST_ALIKE
-        if first["exact", exact] < doc or first["leaf", leaf] < doc and close:
+    for n, k, doc, words in rows:
+        if len(words) < 5:
+            if len(holders[words]) >= 10 and min(holders[words]) < doc:
+                drop[n].add(k)
+            continue
+        first, _, model = leaves[len(words), words[:8]]
+        if whole[words] < doc or first < doc and agree(words[8:], model[8:]):
             drop[n].add(k)
     return [(i, len(drop[n]), t if not drop[n] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[n])) for n, (i, t) in enumerate(docs)]
 
@@ -104,3 +124,14 @@ def test_lines_without_spaces_are_deduplicated(spark, frame):
     docs = [(1, f"{passage}\n\u5c71"), (2, f"{passage}\n\u5c71\u5ddd"), (3, "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35\n\u5c71")]
     found = sorted((r["doc_id"], r["text"]) for r in linededup.dedup(frame(docs, "doc_id long, text string")).collect())
     assert found == [docs[0], (2, "\u5c71\u5ddd"), docs[2]]
+
+
+def test_short_tails_that_differ_stay(spark, frame):
+    head = "the following items are sold here every morning:"
+    docs = [
+        (1, f"{head} fresh green apples grapes"), (2, f"{head} spare truck tyres tubes"), (3, f"{head} fresh green apples tubes"),
+        (4, f"{head} fresh"), (5, f"{head} spare"), (6, f"{head} ripe fresh"), (7, f"{head} ripe spare"), (8, f"{head} 5 ripe figs"), (9, f"{head} 7 ripe figs"),
+    ]
+    found = {r["doc_id"]: r["text"] for r in linededup.dedup(frame(docs, "doc_id long, text string")).collect()}
+    assert sorted(i for i, t in found.items() if not t) == [3, 9]
+    assert {i: t for i, _, t in brute(docs)} == found
