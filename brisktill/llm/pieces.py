@@ -29,6 +29,8 @@ _KEPT = 300_000
 _LONGEST = 64
 # Words whose lengths differ by less than a part in this advance together; the shorter ones are padded.
 _PADDING = 16
+# Longer words are searched one by one.
+_ALONE = 256
 _AT_ONCE = 1 << 20
 _MARK_SHIFT = np.uint64(44)
 # Texts that are encoded together: so many at most, of so many characters in all (or one).
@@ -44,6 +46,17 @@ def _model(path):
     return proto
 
 
+def _codes(word):
+    return np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _powers(base, n):
+    """base to the power of 0 to n - 1, modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 class Pieces:
     """A model's vocabulary as sorted substring hashes."""
 
@@ -72,6 +85,7 @@ class Pieces:
         rng = np.random.default_rng(17)
         self.spread = rng.integers(1, 1 << 63, 1 << 12, dtype=np.uint64)
         self.base = np.uint64(0x9E3779B97F4A7C15)
+        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
         self.power = np.full(self.longest + 1, self.base, np.uint64)
         self.power[0] = 1
         self.power = np.cumprod(self.power, dtype=np.uint64)
@@ -90,18 +104,24 @@ class Pieces:
         self.marked = np.zeros(1 << 64 - int(_MARK_SHIFT), bool)
         for hashes, _ in self.keys.values():
             self.marked[hashes >> _MARK_SHIFT] = True
-        self.pairs = np.zeros(0, np.int64), np.zeros(0, bool)
+        # Pairs of pieces and whether they may follow each other; -1 is no pair.
+        self.judged = {}
+        self.pairs = np.full(1, -1), np.zeros(1, bool)
         self.new, self.old = {}, {}
-        self.pieces_bytes = [self._bytes(i) for i in range(self.count)]
+        self.pieces_bytes = pa.array([self._bytes(i) for i in range(self.count)], pa.binary())
 
     # Encoding
 
     def prefixes(self, codes):
-        """Polynomial hashes of all prefixes of rows of code points, the empty one first."""
+        """Polynomial hashes of all prefixes of rows of code points, the empty one first.
+
+        The sum over characters is a running one of values divided by powers of the base, times the power again.
+        """
         values = self.spread[codes & 0xFFF] ^ (codes.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
-        for j in range(codes.shape[1]):
-            out[:, j + 1] = out[:, j] * self.base + values[:, j]
+        width = codes.shape[1]
+        out = np.zeros((len(codes), width + 1), np.uint64)
+        np.cumsum(values * _powers(self.inverse, width), axis=1, dtype=np.uint64, out=out[:, 1:])
+        out[:, 1:] *= _powers(self.base, width)
         return out
 
     def _merged(self, text):
@@ -118,78 +138,128 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _judge(self, pair):
+        """Whether merging the text of two pieces, given as one number, gives just these two; kept."""
+        if (known := self.judged.get(pair)) is None:
+            a, b = self.text[pair // self.count], self.text[pair % self.count]
+            known = self.judged[pair] = self._merged(a + b) == [a, b]
+        return known
+
     def _agree(self, before, after):
-        """Whether pieces may follow each other; -1 stands for the beginning and for characters that are no pieces."""
+        """Whether pieces may follow each other; -1 stands for the beginning and for characters that are no pieces.
+
+        Judged pairs are searched in sorted arrays, which are made anew when a good part of the pairs is newer.
+        """
         out = (before < 0) | (after < 0)
         inner = np.flatnonzero(~out)
         key = before[inner] * self.count + after[inner]
-        for attempt in (0, 1):
-            known, valid = self.pairs
-            at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-            found = known[at] == key if len(known) else np.zeros(len(key), bool)
-            if found.all():
-                break
-            more = np.unique(key[~found])
-            answers = []
-            for pair in more:
-                a, b = self.text[pair // self.count], self.text[pair % self.count]
-                answers.append(self._merged(a + b) == [a, b])
-            place = np.searchsorted(known, more)
-            known, valid = np.insert(known, place, more), np.insert(valid, place, answers)
-            self.pairs = known, valid
-        out[inner] = valid[at] if len(valid) else False
+        known, valid = self.pairs
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        held, good = known[at] == key, valid[at]
+        if not held.all():
+            more, back = np.unique(key[~held], return_inverse=True)
+            good[~held] = np.array([self._judge(pair) for pair in more.tolist()], bool)[back]
+            if len(self.judged) > 1.25 * len(known) + 4096:
+                known = np.fromiter(self.judged, np.int64, len(self.judged))
+                order = np.argsort(known)
+                self.pairs = known[order], np.fromiter(self.judged.values(), bool, len(known))[order]
+        out[inner] = good
         return out
 
+    def _hits(self, codes, lengths):
+        """All places of pieces in rows of code points: (end, row, length, id), ordered by end, then longest first."""
+        # By position, then by word: what is read together lies together.
+        prefix = np.ascontiguousarray(self.prefixes(codes).T)
+        found = []
+        for length in self.lengths:
+            if length > codes.shape[1]:
+                continue
+            wanted = (prefix[length:] - prefix[:-length] * self.power[length]).ravel()
+            place = np.flatnonzero(self.marked[wanted >> _MARK_SHIFT])
+            keys, ids = self.keys[length]
+            wanted = wanted[place]
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            same = keys[at] == wanted
+            end, row = place[same] // len(codes) + length, place[same] % len(codes)
+            inside = end <= lengths[row]
+            found.append((end[inside], row[inside], np.full(inside.sum(), length), ids[at[same]][inside]))
+        if not found:
+            return [np.zeros(0, np.int64)] * 4
+        found = [np.concatenate(x) for x in zip(*found, strict=True)]
+        order = np.argsort(found[0], kind="stable")
+        return [x[order] for x in found]
+
     def search(self, words):
-        """Ids of words (at least one character each), as bytes; all words advance a character at a time, together."""
+        """Ids of words (at least one character each), as bytes; all words advance a character at a time, together.
+
+        Where pieces lie does not depend on the search, so it is found for all positions first.
+        """
+        if len(words) == 1 and len(words[0]) > _ALONE:
+            return [self._search_long(words[0])]
         lengths = np.array([len(w) for w in words])
         width = int(lengths.max())
         codes = np.zeros((len(words), width), np.uint32)
         for row, word in enumerate(words):
-            codes[row, : len(word)] = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
-        # By position, then by word: what is read together lies together.
-        prefix = np.ascontiguousarray(self.prefixes(codes).T)
+            codes[row, : len(word)] = _codes(word)
+        end, row, size, ids = self._hits(codes, lengths)
+        bounds = np.searchsorted(end, np.arange(width + 2))
+        single = np.zeros((width + 1, len(words)), bool)
+        single[end[size == 1], row[size == 1]] = True
         best = np.full((width + 1, len(words)), -np.inf)
         best[0] = 0
         step = np.ones((width + 1, len(words)), np.int32)
         piece = np.full((width + 1, len(words)), -1, np.int64)
         for j in range(1, width + 1):
-            rows = np.flatnonzero(lengths >= j)
-            here, single = np.full(len(rows), -np.inf), np.zeros(len(rows), bool)
-            open_ = np.arange(len(rows))
-            for length in self.lengths:
-                if length > j or not len(open_):
-                    continue
-                i, own = j - length, rows[open_]
-                wanted = prefix[j, own] - prefix[i, own] * self.power[length]
-                hit = np.flatnonzero(self.marked[wanted >> _MARK_SHIFT])
-                keys, ids = self.keys[length]
-                at = np.minimum(np.searchsorted(keys, wanted[hit]), len(keys) - 1)
-                same = keys[at] == wanted[hit]
-                hit, found = hit[same], ids[at[same]]
-                if not len(hit):
-                    continue
-                if length == 1:
-                    single[open_[hit]] = True
-                own, slot = own[hit], open_[hit]
-                if self.merges:
-                    score = np.where(self._agree(piece[i, own], found), best[i, own], -np.inf)
-                else:
-                    score = best[i, own] + self.score[found]
-                better = score > here[slot]
-                here[slot[better]] = score[better]
-                step[j, own[better]], piece[j, own[better]] = length, found[better]
-                if self.merges:  # one piece at most survives: such words are done with this position
-                    open_ = np.delete(open_, hit[better])
+            part = slice(bounds[j], bounds[j + 1])
+            own, long, found = row[part], size[part], ids[part]
+            score = best[j - long, own]
+            if self.merges:
+                # One piece at most survives.
+                open_ = np.flatnonzero(score == 0)
+                kept = open_[self._agree(piece[j - long[open_], own[open_]], found[open_])]
+            else:
+                score = score + self.score[found]
+                order = np.lexsort((-long, -score, own))
+                kept = order[np.append(True, own[order][1:] != own[order][:-1])[: len(order)]]
+                kept = kept[score[kept] > -np.inf]
+            best[j, own[kept]] = 0 if self.merges else score[kept]
+            step[j, own[kept]], piece[j, own[kept]] = long[kept], found[kept]
             # A character that is no piece by itself stands alone.
-            gap = open_[~single[open_]] if self.merges else np.flatnonzero(~single)
-            score = best[j - 1, rows[gap]] + (0 if self.merges else self.unknown_score)
-            better = score > here[gap]
-            here[gap[better]] = score[better]
-            step[j, rows[gap[better]]], piece[j, rows[gap[better]]] = 1, -1
-            best[j, rows] = here
+            alone = best[j - 1] + (0 if self.merges else self.unknown_score)
+            gap = np.flatnonzero((lengths >= j) & ~single[j] & (alone > best[j]))
+            best[j, gap], step[j, gap], piece[j, gap] = alone[gap], 1, -1
         return self._walked_back(words, lengths, step, piece)
 
+    def _search_long(self, word):
+        """The same for one long word: its pieces are found at once, and only the choice goes from position to position."""
+        end, _, size, ids = self._hits(_codes(word)[None], np.array([len(word)]))
+        n, count, judge = len(word), self.count, self._judge
+        bounds = np.searchsorted(end, np.arange(n + 2)).tolist()
+        size, ids = size.tolist(), ids.tolist()
+        gains = None if self.merges else self.score.tolist()
+        best, step, piece = [-np.inf] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for j in range(1, n + 1):
+            here = -np.inf
+            for h in range(bounds[j], bounds[j + 1]):
+                i, found = j - size[h], ids[h]
+                if best[i] == -np.inf:
+                    continue
+                if gains is None:
+                    score = 0.0 if piece[i] < 0 or judge(piece[i] * count + found) else -np.inf
+                else:
+                    score = best[i] + gains[found]
+                if score > here:
+                    here, step[j], piece[j] = score, size[h], found
+                    if gains is None:
+                        break
+            single = bounds[j] < bounds[j + 1] and size[bounds[j + 1] - 1] == 1
+            alone = best[j - 1] + (0.0 if gains is None else self.unknown_score)
+            if not single and alone > here:
+                here, step[j], piece[j] = alone, 1, -1
+            best[j] = here
+        return self._walked(word, step, piece).tobytes()
+
     def _walked_back(self, words, lengths, step, piece):
         """The ids along the backpointers as little-endian 32-bit numbers; all words step back together."""
         every = np.arange(len(words))
@@ -226,7 +296,7 @@ class Pieces:
             grain = max(1, 1 << max(0, size.bit_length() - _PADDING.bit_length()))
             by_class.setdefault((grain, size // grain), []).append(chunk)
         for group in by_class.values():
-            some = max(1, _AT_ONCE // (16 * len(group[0])))
+            some = 1 if len(group[0]) > _ALONE // 2 and max(map(len, group)) > _ALONE else max(1, _AT_ONCE // (4 * len(group[0])))
             for first in range(0, len(group), some):
                 part = group[first : first + some]
                 self.new.update(zip(part, self.search(part), strict=True))
@@ -257,7 +327,8 @@ class Pieces:
 
     def decode(self, ids):
         """The text of ids; without the space that encoding put first, and with bytes that are no UTF-8 replaced."""
-        raw = b"".join([self.pieces_bytes[i] for i in ids.tolist()])
+        raw = self.pieces_bytes.take(pa.array(ids))
+        raw = raw.buffers()[2].to_pybytes() if len(raw) and raw.buffers()[2] else b""
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import llm_fixtures as fx
 import numpy as np
@@ -41,6 +42,18 @@ def test_random_texts_equal_the_library(path, library):
         assert own.decode(ids) == library.decode(ids.tolist())
 
 
+def test_long_texts_without_spaces(path, library):
+    rng = random.Random(8)
+    own = pieces.Pieces(path)
+    texts = ["".join(rng.choices([x for x in POOL if " " not in x], k=k)) for k in (255, 256, 257, 600, 5000)]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text) and own.decode(ids) == library.decode(ids.tolist())
+    long = "".join(rng.choices(["token", "iza", "tion", "日", "of", "un", "spaced", "x"], k=340_000))
+    start = time.process_time()
+    (ids,) = own.encode([long])
+    assert len(long) > 1_000_000 and time.process_time() - start < 20 and own.decode(ids) == long
+
+
 def test_kept_chunks_do_not_change_results(path, library, monkeypatch):
     monkeypatch.setattr(pieces, "_KEPT", 50)
     own, rng = pieces.Pieces(path), random.Random(4)
@@ -64,6 +77,7 @@ def test_unigram_scores_give_the_best_path(path, tmp_path):
     score = lambda ids: sum(own.score[i] for i in ids)
     rng = random.Random(6)
     texts = [fx.prose(i, 30) for i in range(40)] + ["".join(rng.choices(["the", "ing", "a", " ", "re", "x"], k=12)) for _ in range(300)]
+    texts += ["".join(rng.choices(["the", "ing", "a", "re", "x", "日", "\u0378"], k=k)) for k in (200, 400)]
     for text, ids in zip(texts, own.encode(texts), strict=True):
         theirs = library.encode(text)
         assert own.decode(ids) == text
