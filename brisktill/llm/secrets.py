@@ -25,12 +25,13 @@ SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/=."
 _START = len(SYMBOLS)
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in SYMBOLS]] = np.arange(_START)
-# Strings the models judge: not part of a longer word of any script, with some letters. The ratio decides on the length.
+# Strings the models judge: runs of the symbols, whatever stands beside them, with some letters. The ratio decides on the length.
 LEAST_LETTERS = 4
 # Words of one case, with a number or not, may be of a language that the sample lacks: under this length they are none.
 LEAST_LENGTH = 20
 _WORDS = re.compile(r"(?:[+/=._-]|(?<![A-Za-z0-9])(?:[A-Z]?[a-z]*|[A-Z]+)[0-9]*(?![A-Za-z0-9]))+")
-_CANDIDATE = re.compile(r"(?<![\w+/=.-])[\w+/=.-]+")
+# Letters of words that such a run may be a part of: plain words beside them are no strings of their own.
+_ACCENTED = re.compile("[\u00c0-\u024f\u0300-\u036f\u1e00-\u1eff]")
 _PART = re.compile(r"[A-Za-z0-9]+")
 _RUN = re.compile(r"[A-Za-z0-9+/=._-]+")
 # Alphabets of random strings; each has a model of its own and the likeliest counts. The last one takes every string.
@@ -111,18 +112,24 @@ def made_strings(seed=7, each=MADE, length=32):
     return {name: ["".join(row) for row in rng.choice(list(a), (each, length))] for name, a in ALPHABETS.items()}
 
 
-def fit(docs, text_col="text", sample_documents=SAMPLE_DOCUMENTS, seed=7):
+def sampled(docs, text_col, sample_documents, id_col="doc_id"):
+    """The texts of about `sample_documents` rows that have one, picked by a hash of id and text."""
+    total = max(1, docs.count())
+    steps = 1 << 20
+    named = [id_col] if id_col in docs.columns else []
+    picked = F.pmod(F.xxhash64(*named, text_col), F.lit(steps)) < min(steps, steps * sample_documents // total)
+    return docs.filter(F.col(text_col).isNotNull() & picked).select(F.col(text_col).alias("text"))
+
+
+def fit(docs, text_col="text", sample_documents=SAMPLE_DOCUMENTS, seed=7, id_col="doc_id"):
     """The models: log probabilities [model, before, after], from the labelled strings of a sample of `docs`.
 
-    The sample takes documents by a hash of their text, about
-    `sample_documents` of them; transitions are counted in the tasks and only
+    The sample takes documents by a hash of their id (if there is such a column) and text, about
+    `sample_documents` of them, also of a table of copies; transitions are counted in the tasks and only
     the counts, of fixed number, come to the driver. Made random strings join
     those found, so no model lacks samples, whatever `docs` holds.
     """
-    total = max(1, docs.count())
-    steps = 1 << 20
-    part = docs.select(F.col(text_col).alias("text")).filter(F.col(text_col).isNotNull())
-    part = part.filter(F.pmod(F.xxhash64("text"), F.lit(steps)) < min(steps, steps * sample_documents // total))
+    part = sampled(docs, text_col, sample_documents, id_col)
 
     def start():
         def work(batch):
@@ -208,14 +215,15 @@ def all_spans(models, text, known=None):
     starts = [start for start, _, _, _ in spans]
     reach = list(itertools.accumulate((end for _, _, end, _ in spans), max))
     gains = (models[:-1] - models[-1]).reshape(len(MODELS) - 1, -1)
-    for m in _CANDIDATE.finditer(text):
+    for m in _RUN.finditer(text):
         run = m.group()
-        if len(run) < LEAST_LENGTH and _WORDS.fullmatch(run):  # and so is every stretch of it
+        beside = not text.isascii() and (_ACCENTED.match(text, m.end()) or m.start() and _ACCENTED.match(text, m.start() - 1))
+        if (len(run) < LEAST_LENGTH or beside) and _WORDS.fullmatch(run):  # and so is every stretch of it
             continue
         if (inside := known.get(run)) is None:
             if len(known) >= KEPT_STRINGS:
                 known.clear()
-            inside = known[run] = _random(models, gains, run) if run.isascii() and any(map(str.isalnum, run)) else []
+            inside = known[run] = _random(models, gains, run) if any(map(str.isalnum, run)) else []
         for start, end in inside:
             start, end = m.start() + start, m.start() + end
             before = bisect.bisect_left(starts, end)  # the base spans that begin before the string ends

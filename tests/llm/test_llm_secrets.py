@@ -116,3 +116,26 @@ def test_paths_and_hosts_are_no_secrets(models, spark, folder):
     rng = random.Random(8)
     plain = [f"https://www.{'.'.join(rng.choices(words, k=2))}.com/{'/'.join(rng.choices(words, k=4))}.html".lower() for _ in range(300)]
     assert np.mean([bool(secrets.all_spans(models, s)) for s in plain]) <= 0.01
+
+
+@pytest.mark.parametrize("frame", ["密钥是{}", "clé{}", "clé={}", "ключ{}の", "鍵：{}。", "é{}é"])
+def test_keys_beside_letters_of_any_script_are_found_whole(models, frame):
+    rng = np.random.default_rng(5)
+    keys = ["".join(rng.choice(list(secrets.SYMBOLS[:62]), 40)) for _ in range(200)]
+    left = [secrets.redacted(frame.format(k), secrets.all_spans(models, frame.format(k))) for k in keys]
+    whole = (frame.format("[random]"), frame.replace("={}", "{}").format("[random]"))
+    assert np.mean([out in whole for out in left]) >= 0.95
+    assert all(k not in out for k, out in zip(keys, left, strict=True))
+
+
+def test_accented_words_are_no_secrets(models, spark, folder):
+    texts = [r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").filter("lang <> 'en'").select("text").collect()]
+    words = sorted({w for t in texts for w in re.findall(r"\w+", t or "") if not w.isascii()})
+    assert words and np.mean([bool(secrets.all_spans(models, w)) for w in words]) == 0
+    assert secrets.all_spans(models, "Donaudampfschifffahrtsgesellschaftskapitänsmützenabzeichenverordnungsblattänderung") == []
+
+
+def test_sample_stays_bounded_in_a_table_of_copies(spark):
+    copies = spark.range(3000).selectExpr("id AS doc_id", "if(id % 3 = 0, concat('text ', id), 'one text') AS text")
+    assert 50 < secrets.sampled(copies, "text", 100).count() < 200
+    assert np.isfinite(secrets.fit(copies, sample_documents=100)).all()
