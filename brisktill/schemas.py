@@ -227,7 +227,7 @@ FOREIGN_KEYS = (
 # The settings a store may hold, with what applies when one is
 # missing or empty.
 SETTING_DEFAULTS = {
-    "store_name": "B Traders",
+    "store_name": "Example Store",
     "store_address": "",
     "store_phone": "",
     "store_email": "",
