@@ -4,7 +4,7 @@ The others need hashes, tokenizers or searches that SQL lacks; tests compare
 those with brute force.
 """
 
-from .quality import LEAST_DOCUMENTS, RULES, SKETCH_BITS, SPREAD, WINDOW
+from .quality import LEAST_DOCUMENTS, OCCURRENCES, RULES, SKETCH_BITS, SPREAD, WINDOW
 from .sharding import ROUNDS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -12,13 +12,15 @@ _SYMBOL = "[#*$%&|<>]"
 
 
 def _quality():
-    ratios = ", ".join(
-        f"CASE WHEN {of} > 0 THEN {n} * {scale} // {of} END AS {name}"
-        for name, (n, _, scale, _, of) in ((r[0], r[1].split()) for r in RULES)
+    ratios = ", ".join(f"CASE WHEN {of} > 0 THEN {n} * {scale} // {of} END AS {name}" for name, n, scale, of, _ in RULES)
+    long = " UNION ALL ".join(
+        f"SELECT rid, lang, source, '{name}' AS rule, {name} AS v, {n} * {scale} AS total, {of} AS size, {OCCURRENCES * scale} AS spare "
+        "FROM base WHERE NOT base_failed"
+        for name, n, scale, of, _ in RULES
     )
-    long = " UNION ALL ".join(f"SELECT rid, lang, source, '{r[0]}' AS rule, {r[0]} AS v FROM base WHERE NOT base_failed" for r in RULES)
-    floors = " ".join(f"WHEN '{r[0]}' THEN {r[2]}" for r in RULES)
-    low = ", ".join(f"'{r[0]}'" for r in RULES if r[3])
+    low = ", ".join(f"'{r[0]}'" for r in RULES if r[4])
+    shift = lambda v: f"greatest(length(bin({v})) - {SKETCH_BITS}, 0)"
+    end = lambda q: f"{q} + (1::BIGINT << {shift(q)}) - 1 AS {q}_end"
     quarters = ", ".join(f"list_sort(list(bucket))[(count(*) * {q} + 3) // 4] AS q{q}" for q in (1, 2, 3))
 
     def level(depth, keys):
@@ -50,17 +52,17 @@ counted AS (
 base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {ratios} FROM counted),
 long AS ({long}),
 sketch AS (SELECT rule, lang, source, (v >> s) << s AS bucket
-           FROM (SELECT *, greatest(length(bin(v)) - {SKETCH_BITS}, 0) AS s FROM long WHERE v IS NOT NULL)),
+           FROM (SELECT *, {shift("v")} AS s FROM long WHERE v IS NOT NULL)),
 {level(2, ["lang", "source"])},
 {level(1, ["lang"])},
 {level(0, [])},
 best AS (SELECT a.rule, a.lang, a.source, {chosen("q1")}, {chosen("q2")}, {chosen("q3")}
          FROM level2 a JOIN level1 b ON a.rule = b.rule AND a.lang IS NOT DISTINCT FROM b.lang JOIN level0 c ON a.rule = c.rule),
-fence AS (SELECT rule, lang, source, CASE WHEN rule IN ({low}) THEN q2 - greatest({SPREAD} * (q2 - q1), CASE rule {floors} END) END AS low,
-                 q2 + greatest({SPREAD} * (q3 - q2), CASE rule {floors} END) AS high FROM best),
+fence AS (SELECT rule, lang, source, CASE WHEN rule IN ({low}) THEN q2_end - {SPREAD} * (q2_end - q1) END AS low,
+                 q2 + {SPREAD} * (q3_end - q2) AS high FROM (SELECT *, {end("q2")}, {end("q3")} FROM best)),
 out AS (SELECT DISTINCT rid FROM long l JOIN fence f
         ON l.rule = f.rule AND l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source
-        WHERE v > high OR v < low)
+        WHERE total > high * size + spare OR total < low * size - spare)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stutters, base_failed,
        NOT base_failed AND rid NOT IN (SELECT rid FROM out) AS kept
 FROM base"""

@@ -7,22 +7,22 @@ from .rows import WORD, free_names, let
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
-# Sketch values keep their leading bits: an error of at most one part in 32.
-SKETCH_BITS = 6
+# Sketch values keep their leading bits: whole numbers below 256 are exact, others off by one part in 128 at most.
+SKETCH_BITS = 8
 # Sketches of fewer documents give way to those of the language, then to those of all.
 LEAST_DOCUMENTS = 100
 
-# Ratios that are judged: name, expression over the base columns (whole numbers),
-# the least distance between a median and its fence, and whether there is a lower
-# fence too. The distances keep clean documents in groups that hardly vary.
+# Ratios that are judged: name, the counts n and of with n * scale div of, and whether there is a lower fence too.
 RULES = (
-    ("symbol_rate", "n_symbols * 1000 div n_words", 100, False),
-    ("dup_line_rate", "n_dup_lines * 1000 div n_lines", 400, False),
-    ("stutter_rate", "n_stutters * 1000 div n_words", 300, False),
-    ("word_length", "word_chars * 100 div n_words", 250, True),
+    ("symbol_rate", "n_symbols", 1000, "n_words", False),
+    ("dup_line_rate", "n_dup_lines", 1000, "n_lines", False),
+    ("stutter_rate", "n_stutters", 1000, "n_words", False),
+    ("word_length", "word_chars", 100, "n_words", True),
 )
 # Fences lie so many quartile distances from the median.
-SPREAD = 6
+SPREAD = 8
+# A text may go beyond a fence by so many occurrences: one repeated line among three says little, forty among a hundred much.
+OCCURRENCES = 3
 
 
 def _repeats(words, window):
@@ -118,16 +118,14 @@ def measured(docs, text_col="text", least_words=20, most_repeats=30):
     Ratios of a text without words or lines are null.
     """
     base = F.struct(base_columns(F.col(text_col)).alias("b"))
-    ratio = {name: sql for name, sql, _, _ in RULES}
 
     def judged(s):
         b = s["b"]
         per = lambda n, scale, of: F.when(b[of] > 0, F.floor(b[n] * scale / b[of]))
-        parts = {name: sql.split() for name, sql in ratio.items()}
         failed = (b["n_words"] < least_words) | (b["n_repeat_words"] * 100 > b["n_words"] * most_repeats)
         return F.struct(
             *[b[c].alias(c) for c in BASE],
-            *[per(p[0], int(p[2]), p[4]).alias(name) for name, p in parts.items()],
+            *[per(n, scale, of).alias(name) for name, n, scale, of, _ in RULES],
             failed.alias("base_failed"),
         )
 
@@ -144,16 +142,23 @@ def sketches(rows, keys=("lang", "source")):
     """
     each = F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.col(f"quality.{r[0]}").alias("v")) for r in RULES])
     long = rows.filter("not quality.base_failed").select(*keys, F.inline(each)).filter("v is not null")
-    shift = F.greatest(F.length(F.bin("v")) - SKETCH_BITS, F.lit(0))
     bucket = F.expr("shiftleft(shiftright(v, s), s)")
-    return long.withColumn("s", shift).groupBy("rule", *keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return long.withColumn("s", _shift("v")).groupBy("rule", *keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _shift(value):
+    """The bits of a whole number that its bucket leaves out."""
+    return F.greatest(F.length(F.bin(value)) - SKETCH_BITS, F.lit(0))
 
 
 def thresholds(sketch, keys=("lang", "source"), least=LEAST_DOCUMENTS):
-    """Per rule and keys: low and high, the fences around the median.
+    """Per rule and keys: low and high, the fences, `SPREAD` quartile distances from the median.
 
-    Sketches are merged upwards, (lang, source) into lang into all, and the
-    finest level with `least` documents decides.
+    Nothing else sets them: in a group whose quartiles are equal the median is
+    the fence. A bucket counts with the end that makes a distance longer, so
+    the sketch's error loses no text. Sketches are merged upwards, (lang,
+    source) into lang into all, and the finest level with `least` documents
+    decides.
     """
     levels = []
     for depth in range(len(keys), -1, -1):
@@ -185,29 +190,25 @@ def thresholds(sketch, keys=("lang", "source"), least=LEAST_DOCUMENTS):
         level = F.col(f"level{depth}")
         enough = F.when((level["n"] >= least) | F.lit(depth == 0), level)
         best = enough if best is None else F.coalesce(best, enough)
-    floor = F.create_map(*[x for r in RULES for x in (F.lit(r[0]), F.lit(r[2]).cast("long"))])
-    low = F.array(*[F.lit(r[0]) for r in RULES if r[3]])
-    return (
-        groups.select("rule", *keys, best.alias("q"))
-        .select(
-            "rule",
-            *keys,
-            F.when(F.array_contains(low, F.col("rule")), F.expr("q.q2") - _reach("q.q2 - q.q1", floor)).alias("low"),
-            (F.expr("q.q2") + _reach("q.q3 - q.q2", floor)).alias("high"),
-        )
+    low = F.array(*[F.lit(r[0]) for r in RULES if r[4]])
+    end = lambda q: F.col(q) + F.expr("shiftleft(1L, s)") - 1
+    ends = groups.select("rule", *keys, best.alias("q"))
+    for q in ("q2", "q3"):
+        ends = ends.withColumn("s", _shift(f"q.{q}")).withColumn(f"{q}_end", end(f"q.{q}"))
+    return ends.select(
+        "rule",
+        *keys,
+        F.when(F.array_contains(low, F.col("rule")), F.expr(f"q2_end - {SPREAD} * (q2_end - q.q1)")).alias("low"),
+        F.expr(f"q.q2 + {SPREAD} * (q3_end - q.q2)").alias("high"),
     )
 
 
-def _reach(distance, floor):
-    return F.greatest(SPREAD * F.expr(distance), floor[F.col("rule")])
-
-
 def judged(rows, keys=("lang", "source")):
     """Rows with `quality` (a table: it is read twice) and `kept` added.
 
     Thresholds of all rules meet a row in one join on the keys, null keys
     included. A row is kept if it passes the base rules and each of its ratios
-    lies within its fences; a ratio that is null passes.
+    lies within its fences, or beyond by `OCCURRENCES` at most; a ratio that is null passes.
     """
     by_rule = thresholds(sketches(rows, keys), keys)
     wide = by_rule.groupBy(*keys).agg(
@@ -219,9 +220,11 @@ def judged(rows, keys=("lang", "source")):
     for k, n in zip(keys, names, strict=True):
         on &= F.col(k).eqNullSafe(F.col(n))
     within = ~F.col("quality.base_failed")
-    for name, _, _, _ in RULES:
-        fence, value = F.col("fences")[name], F.col(f"quality.{name}")
-        within &= F.coalesce((value <= fence["high"]) & (fence["low"].isNull() | (value >= fence["low"])), F.lit(True))
+    for name, n, scale, of, _ in RULES:
+        fence, value, size = F.col("fences")[name], F.col(f"quality.{n}") * scale, F.col(f"quality.{of}")
+        below = value <= fence["high"] * size + OCCURRENCES * scale
+        above = fence["low"].isNull() | (value >= fence["low"] * size - OCCURRENCES * scale)
+        within &= F.coalesce((size == 0) | (below & above), F.lit(True))
     return rows.join(wide, on, "left").withColumn("kept", within).drop("fences", *names)
 
 

@@ -75,9 +75,43 @@ def test_sketches_merge_and_bound_the_error(spark, frame):
     sketch = quality.sketches(shaped)
     fences = {r["rule"]: r for r in quality.thresholds(sketch).collect()}
     median, upper = sorted(values)[1499], sorted(values)[2249]
-    for name, _, floor, _ in quality.RULES:
-        reach = max(quality.SPREAD * (upper - median), floor)
-        assert abs(fences[name]["high"] - (median + reach)) <= (median + quality.SPREAD * (upper + median)) / 32 + 1
+    for name, *_ in quality.RULES:
+        reach = quality.SPREAD * (upper - median)
+        assert abs(fences[name]["high"] - (median + reach)) <= (median + quality.SPREAD * (upper + median)) / 128 + 1
+
+
+def test_thresholds_follow_the_spread_of_the_source(spark, frame):
+    """Two sources with one median of 20 in a thousand: only what varies little makes 60 in a thousand an outlier."""
+
+    def text(i, symbols):
+        return " ".join([f"word{(i * 7 + j) % 997}" for j in range(1000 - symbols)] + [f"#{j}" for j in range(symbols)])
+
+    steady, varied = (20, 20, 21, 19), (20, 20, 40, 10)
+    rows = [(i, text(i, steady[i % 4]), "en", "steady") for i in range(120)]
+    rows += [(1000 + i, text(i, varied[i % 4]), "en", "varied") for i in range(120)]
+    rows += [(2000 + s, text(s, s), "en", source) for s, source in ((23, "steady"), (60, "steady"), (61, "varied"), (300, "varied"))]
+    docs = frame(rows, "doc_id long, text string, lang string, source string")
+    sketch = quality.sketches(quality.measured(docs))
+    fences = {r["source"]: r["high"] for r in quality.thresholds(sketch).filter("rule = 'symbol_rate'").collect()}
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality(docs).collect()}
+    assert fences["steady"] < 60 < 61 <= fences["varied"]
+    assert kept[2023] and not kept[2060] and kept[2061] and not kept[2300]
+
+
+def test_repeated_lines_are_judged_by_the_source_and_the_length(spark, frame):
+    """No constant decides: 39 % repeated lines are out where there are none, and one of three lines is not."""
+    line = lambda i, j: f"line {j:02d} of the text {i:03d} with some ordinary words in it"
+    rows = [(i, "\n".join(line(i, j) for j in range(10)), "en", "prose") for i in range(120)]
+    rows += [(500 + i, "\n".join([line(i, j) for j in range(6)] + [line(i, 0)] * (i % 5)), "en", "lists") for i in range(120)]
+    many = [line(900, j) for j in range(61)] + [line(900, j) for j in range(39)]
+    few = [line(901, 0), line(901, 1), line(901, 0)]
+    rows += [(900, "\n".join(many), "en", "prose"), (901, "\n".join(few), "en", "prose"), (902, "\n".join(many[:61] + many[:20]), "en", "lists")]
+    found = quality.measured(frame(rows, "doc_id long, text string, lang string, source string"), least_words=1, most_repeats=100)
+    from brisktill.sources.staging import staged
+
+    kept = {r["doc_id"]: r["kept"] for r in quality.judged(staged(found)).collect()}
+    assert not kept[900] and kept[901] and kept[902]
+    assert all(k for i, k in kept.items() if i < 900)
 
 
 def test_keep_good_keeps_columns_and_whole_rows(spark):
