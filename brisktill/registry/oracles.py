@@ -882,6 +882,12 @@ ORACLES |= {
                    count(*) AS month_bill_count, cast(coalesce(sum(total_amount), 0) AS decimal(20,2)) AS month_total_sales
             FROM bills_after WHERE strftime(created_at, '%Y-%m') = '2001-07'""",
     ),
+    "standing_recent_orders": sql(
+        "bills bills_after",
+        f"""SELECT customer_id, id, bill_number, {_STAMP}, total_amount, cast(place AS int) AS rank
+            FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, id DESC) AS place FROM bills_after)
+            WHERE customer_id IS NOT NULL AND place <= 10""",
+    ),
     "standing_counters": sql(
         "customers bills_after",
         """SELECT c.id, count(b.id) AS total_orders, cast(coalesce(sum(b.total_amount), 0) AS decimal(22,2)) AS total_spent

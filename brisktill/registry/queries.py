@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce, dates, text
 from ..functions.text import loose
 from ..operators import changes, diff, joins, numbering, posting, pricing, reads, search, settings, validate
-from ..plans import dashboard, reports, standing
+from ..plans import dashboard, newest, reports, standing
 from ..schemas import BILL_ITEMS, BILLS
 from ..sources import monthly, samples
 from ..sources.documents import parse_bill_documents, parse_bodies, split_documents
@@ -840,6 +840,14 @@ def standing_counters(spark, folder):
     return standing.counters(samples.customers(spark, folder), sums).select("id", "total_orders", "total_spent")
 
 
+@registered
+def standing_recent_orders(spark, folder):
+    """Every customer's newest bills after the batch, from the lists kept before it."""
+    before, changed = _bill_changes(spark, folder)
+    kept = newest.advanced(staged(newest.state(before)), changed, diff.apply_changes(before, changed))
+    return _stamped(newest.recent_orders(kept))
+
+
 # ---- numbering from high-water marks
 
 
