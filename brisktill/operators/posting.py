@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import given, to_money, zero_to_null
 from ..functions.text import trimmed
 from ..schemas import TEXT_LENGTHS
-from ..sources.staging import staged
+from ..sources.staging import staged, staged_counting
 from .changes import delete_rows, new_rows
 from .joins import WALK_IN, spread_key
 from .numbering import assign_bill_numbers, assign_parent_and_child_ids
@@ -19,6 +19,7 @@ _AMOUNTS = ["subtotal", "discount_amount", "tax_amount", "shipping_cost", "total
 _TEXTS = ["customer_name", "customer_phone", "customer_email", "customer_address"]
 _LINE_AMOUNTS = {"unit_price": 10, "discount_percentage": 5, "discount_amount": 10, "subtotal": 10}
 _MAX_QUANTITY = 2147483647
+_LINE_REASONS = ("unknown product", "quantity must be whole", "product_name too long", "line amount out of range")
 
 
 def customer_sums(bills):
@@ -55,15 +56,14 @@ def _line_problems(lines, products):
     marked = keyed.join(missing.withColumn("_missing", F.lit(True)), "_product", "left")
     quantity = F.col("quantity")
     limit = TEXT_LENGTHS["bill_items"]["product_name"]
-    problems = {
-        "unknown product": F.col("_missing").isNotNull(),
-        "quantity must be whole": (quantity < 0) | (quantity > _MAX_QUANTITY) | (quantity != F.floor(quantity)),
-        "product_name too long": F.length("product_name") > limit,
-        "line amount out of range": reduce(
-            or_,
-            [F.col(c).isNotNull() & to_money(F.col(c), digits).isNull() for c, digits in _LINE_AMOUNTS.items()],
-        ),
-    }
+    amounts = [F.col(c).isNotNull() & to_money(F.col(c), digits).isNull() for c, digits in _LINE_AMOUNTS.items()]
+    wrong = (
+        F.col("_missing").isNotNull(),
+        (quantity < 0) | (quantity > _MAX_QUANTITY) | (quantity != F.floor(quantity)),
+        F.length("product_name") > limit,
+        reduce(or_, amounts),
+    )
+    problems = dict(zip(_LINE_REASONS, wrong, strict=True))
     flags = [F.coalesce(F.max(bad), F.lit(False)).alias(f"_{reason}") for reason, bad in problems.items()]
     summary = marked.groupBy("seq").agg(
         F.count(F.lit(1)).alias("item_count"), (F.max("pos") + 1).cast("long").alias("_width"), *flags
@@ -97,7 +97,7 @@ class Posting:
         self._prefix, self._now = prefix, now
 
     @cached_property
-    def _checked(self):
+    def _checked_and_counts(self):
         header = self._drafts.withColumn("customer_id", zero_to_null(F.col("customer_id")))
         for column in _TEXTS:
             header = header.withColumn(column, trimmed(F.col(column)))
@@ -121,7 +121,14 @@ class Posting:
         rules.append(("unknown customer", F.col("_stranger").isNull()))
         all_reasons = F.concat(REASONS, F.coalesce("_line_reasons", no_reasons()))
         checked = check(header, rules).withColumn(REASONS, all_reasons)
-        return staged(checked.drop("_line_reasons", "_stranger", "_customer"))
+        counts = {"created": F.count_if(is_valid()), "rejected": F.count_if(~is_valid())}
+        for reason in [name for name, _ in rules] + list(_LINE_REASONS):
+            counts[reason] = F.count_if(F.array_contains(REASONS, reason))
+        return staged_counting(checked.drop("_line_reasons", "_stranger", "_customer"), counts)
+
+    @property
+    def _checked(self):
+        return self._checked_and_counts[0]
 
     @cached_property
     def _numbered(self):
@@ -186,6 +193,16 @@ class Posting:
         )
         return created.unionByName(rejected)
 
+    @property
+    def outcome_counts(self):
+        """Drafts created, rejected and, per reason, rejected for it; counted by the write that stores the checked drafts."""
+        return self._checked_and_counts[1]
+
+    def store_sold(self):
+        """`sold`, stored, and how many of its lines were sold and skipped, counted by the same write."""
+        accepted = F.col("accepted")
+        return staged_counting(self.sold, {"sold": F.count_if(accepted), "skipped": F.count_if(~accepted)})
+
 
 def delete_bills(tables, ids):
     """Delete bills by id with their items and payments, putting sold quantities back in stock.

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import float_text, float_value, leading_number, or_default
 from ..schemas import SETTING_DEFAULTS
+from ..sources.staging import staged_counting
 from .validate import check, is_valid, setting_rules
 
 
@@ -54,3 +55,8 @@ def upsert_settings(settings, requests):
     newest = accepted.groupBy("setting_key").agg(F.max_by(value, F.struct("batch", "seq")).alias("_new"))
     merged = settings.select("setting_key", "setting_value").join(newest, "setting_key", "full_outer")
     return merged.select("setting_key", F.coalesce("_new", "setting_value").alias("setting_value")), outcomes
+
+
+def store_outcomes(outcomes):
+    """The outcomes of `upsert_settings`, stored, and how many batches were saved and rejected, counted by the same write."""
+    return staged_counting(outcomes, {name: F.count_if(F.col("status") == name) for name in ("saved", "rejected")})

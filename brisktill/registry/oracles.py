@@ -537,6 +537,7 @@ ORACLES = {
     "settings_map": f"{_SETTINGS} SELECT * FROM settings",
     "settings_upsert": f"{_SETTINGS} SELECT * FROM settings",
     "settings_outcomes": f"{_SETTINGS} SELECT * FROM outcomes",
+    "settings_counts": f"{_SETTINGS} SELECT status AS what, count(*) AS n FROM outcomes GROUP BY status",
     "effective_settings": _SETTINGS
     + " SELECT "
     + ", ".join(
@@ -793,6 +794,16 @@ ORACLES = {
         recursive=True,
     ),
     "post_bills_items": sql(_DRAFT_TABLES, _DRAFTS + " SELECT * FROM posted_items", recursive=True),
+    "post_bills_counts": sql(
+        _DRAFT_TABLES,
+        _DRAFTS
+        + """ SELECT what, count(*) AS n FROM (
+                SELECT CASE WHEN reasons = '' THEN 'created' ELSE 'rejected' END AS what FROM checked
+                UNION ALL SELECT unnest(string_split(reasons, '; ')) FROM checked WHERE reasons <> ''
+                UNION ALL SELECT CASE WHEN accepted THEN 'sold' ELSE 'skipped' END FROM walk WHERE turn > 0)
+              GROUP BY what""",
+        recursive=True,
+    ),
     "post_bills_sold": sql(
         _DRAFT_TABLES,
         _DRAFTS + " SELECT line_id, product_id, quantity, accepted FROM walk WHERE turn > 0",

@@ -364,6 +364,12 @@ def settings_outcomes(spark, folder):
     return settings.upsert_settings(requests.base_settings(spark, folder), requests.setting_requests(spark, folder))[1]
 
 
+@registered
+def settings_counts(spark, folder):
+    """Batches of settings saved and rejected, as counted while the outcomes were stored."""
+    return _counts(spark, settings.store_outcomes(settings_outcomes(spark, folder))[1])
+
+
 @registered
 def effective_settings(spark, folder):
     return settings.effective_settings(settings_upsert(spark, folder))
@@ -707,6 +713,18 @@ def post_bills_outcomes(spark, folder):
     return outcomes.select("seq", "status", "id", "bill_number", F.array_join("reasons", "; ").alias("reasons"))
 
 
+def _counts(spark, counts):
+    """Counts by name as rows; there are as many as rules."""
+    return spark.createDataFrame(sorted(counts.items()), "what string, n long").filter("n > 0")
+
+
+@registered
+def post_bills_counts(spark, folder):
+    """Drafts created and rejected, by reason, and lines sold and skipped, as counted while they were stored."""
+    batch = _post(spark, folder)
+    return _counts(spark, {**batch.outcome_counts, **batch.store_sold()[1]})
+
+
 @registered
 def post_bills_headers(spark, folder):
     bills = _post(spark, folder).bills

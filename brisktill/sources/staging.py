@@ -3,6 +3,8 @@
 import tempfile
 import uuid
 
+from pyspark.sql import Observation
+
 _FOLDER = "spark.checkpoint.dir"
 
 
@@ -32,3 +34,16 @@ def staged(df):
     path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_counting(df, counts):
+    """`staged`, and a dict of the aggregates `counts` (name -> column) over its rows, taken by the same write.
+
+    The tasks that write the rows count them, and Spark adds up each finished
+    task once, so a task that is run again counts once. A count that no row
+    was seen for is 0.
+    """
+    seen = Observation()
+    table = staged(df.observe(seen, *[column.alias(name) for name, column in counts.items()]))
+    found = seen.get
+    return table, {name: found.get(name) or 0 for name in counts}

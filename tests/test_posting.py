@@ -201,3 +201,25 @@ def test_documents_from_json_files(spark, tmp_path):
     (tmp_path / "bills.json").write_text('{"customer_name": "A", "items": [{"quantity": 2}]}\nbroken\n')
     documents = read_bill_documents(spark, str(tmp_path))
     assert sorted((r["customer_name"] or "", len(r["items"] or [])) for r in documents.collect()) == [("", 0), ("A", 1)]
+
+
+def test_counts_equal_the_outcomes(posted):
+    rows = posted.outcomes.collect()
+    counts = {name: n for name, n in posted.outcome_counts.items() if n}
+    expected = {"created": 0, "rejected": 0}
+    for row in rows:
+        expected[row["status"]] += 1
+        for reason in row["reasons"]:
+            expected[reason] = expected.get(reason, 0) + 1
+    assert counts == expected and expected["created"] == 2
+    sold, lines = posted.store_sold()
+    accepted = [r["accepted"] for r in sold.collect()]
+    assert lines == {"sold": sum(accepted), "skipped": len(accepted) - sum(accepted)}
+
+
+def test_counts_of_nothing(spark, store):
+    drafts, lines = split_documents(parse_bill_documents(spark.createDataFrame([], "seq long, body string")))
+    drafts = drafts.withColumn("created_by", F.lit(2).cast("long")).withColumn("created_at", F.lit("2024-03-09 10:00:00").cast("timestamp"))
+    batch = Posting(drafts, lines, store["products"], store["customers"], store["bills"], store["bill_items"])
+    assert set(batch.outcome_counts.values()) == {0}
+    assert batch.store_sold()[1] == {"sold": 0, "skipped": 0}
