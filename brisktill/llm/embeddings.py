@@ -20,9 +20,10 @@ from pyspark.sql import types as T
 from ..sources.staging import staged
 from .components import components
 
-# Dimensions of a block, and how many of them make up the grid of its range join.
+# Dimensions of a block. Its range join lays a grid over some of them.
 BLOCK = 8
-GRID = 4
+# A copy of a row for one more cell is written and sorted; that costs about as much as so many rows of the join.
+COPY_COST = 2
 # Slack of the squared-distance budgets: coordinates are kept in single precision.
 SLACK = 1e-5
 # Shells of a cluster by distance from its centre.
@@ -108,29 +109,54 @@ def _cosine(v, w):
     return _per_pair(lambda one, two: np.einsum("ij,ij->i", one, two), v, w)
 
 
-def _cells(vectors, radius):
-    """Of the rows of one block: (row, own, cell) with a row's own grid cell and all cells its ball of `radius` touches.
+def _cells(vectors, radius, depth, spread=True):
+    """Of the rows of one block: (rows, cells), the grid cells over `depth` axes that a row's ball of `radius` touches, or its own only.
 
     Cells are twice the radius wide, so a ball reaches one neighbour at most
     along each axis, and several axes at once only if their distances fit into
-    the radius together.
+    the radius together. Cells are named by a hash: two with one name cost a
+    comparison and lose nothing.
     """
-    grid = vectors[:, :GRID]
+    grid = vectors[:, :depth]
     at = np.floor(grid / (2 * radius)).astype(np.int64)
     into = grid / (2 * radius) - at
     side = np.where(into < 0.5, -1, 1)
     gap = np.minimum(into, 1 - into) * 2 * radius
-    for steps in itertools.product((0, 1), repeat=grid.shape[1]):
+    rows, cells = [], []
+    for steps in itertools.product((0, 1) if spread else (0,), repeat=grid.shape[1]):
         steps = np.array(steps)
-        near = ((gap * steps) ** 2).sum(1) <= radius**2 * (1 + SLACK)
+        near = np.flatnonzero(((gap * steps) ** 2).sum(1) <= radius**2 * (1 + SLACK))
         cell = at[near] + steps * side[near]
         key = np.zeros(len(cell), np.int64)
         for axis in range(cell.shape[1]):
-            key = key << 16 | (cell[:, axis] & 0xFFFF)
-        yield np.flatnonzero(near), not steps.any(), key
+            key = key * 0x9E3779B1 + cell[:, axis]
+        rows.append(near)
+        cells.append(key)
+    return np.concatenate(rows), np.concatenate(cells)
 
 
-def _blocks(vectors, reach, seed, spread):
+def _depth(left, right, reach, seed):
+    """How many axes the grid of a block gets for so many rows of one label on either side.
+
+    Each axis more makes more copies of the rows on the right and lets fewer
+    pairs meet. Both are counted on made blocks of vectors that lie evenly,
+    where only the reach matters; the depth with the least work is taken. Any
+    depth finds all pairs.
+    """
+    rng = np.random.default_rng([seed, BLOCK])
+    one, two = rng.standard_normal((2, 1000, BLOCK))
+    radius = reach * BLOCK**0.5
+    work = {}
+    for depth in range(1, BLOCK + 1):
+        own, counts = np.unique(_cells(one, radius, depth, False)[1], return_counts=True)
+        touched = _cells(two, radius, depth)[1]
+        at = np.minimum(np.searchsorted(own, touched), len(own) - 1)
+        met = counts[at[own[at] == touched]].sum()
+        work[depth] = COPY_COST * right * len(touched) / len(two) + left * right * met / (len(one) * len(two))
+    return min(work, key=work.get)
+
+
+def _blocks(vectors, reach, seed, depth, spread):
     """Per vector (id, label, unit) and block: (id, label, size, block, cell, x0 ...), with every cell the ball touches if `spread`."""
     fields = [T.StructField("id", T.LongType()), vectors.schema["label"]]
     fields += [T.StructField(n, T.IntegerType()) for n in ("size", "block")]
@@ -138,8 +164,8 @@ def _blocks(vectors, reach, seed, spread):
 
     def run(batches):
         for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                yield from of(batch.slice(part, 512))
+            for part in range(0, batch.num_rows, 256):
+                yield from of(batch.slice(part, 256))
 
     def of(batch):
         for own, (rows,) in _by_size(batch.column(2)):
@@ -151,17 +177,16 @@ def _blocks(vectors, reach, seed, spread):
                 radius = reach * (width / size * (1 + SLACK)) ** 0.5 + SLACK
                 padded = np.zeros((len(own), BLOCK), np.float32)
                 padded[:, :width] = coordinates
-                for at, is_own, cells in _cells(coordinates.astype(float), radius):
-                    if len(at) and (is_own or spread):
-                        pick = pa.array(own[at])
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                batch.column(0).take(pick), batch.column(1).take(pick),
-                                pa.array(np.full(len(at), size, np.int32)), pa.array(np.full(len(at), block, np.int32)),
-                                pa.array(cells), *[pa.array(padded[at, j]) for j in range(BLOCK)],
-                            ],
-                            names=[f.name for f in schema],
-                        )
+                at, cells = _cells(coordinates.astype(float), radius, depth, spread)
+                pick = pa.array(own[at])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pick), batch.column(1).take(pick),
+                        pa.array(np.full(len(at), size, np.int32)), pa.array(np.full(len(at), block, np.int32)),
+                        pa.array(cells), *[pa.array(padded[at, j]) for j in range(BLOCK)],
+                    ],
+                    names=[f.name for f in schema],
+                )
 
     return vectors.mapInArrow(run, schema)
 
@@ -172,12 +197,15 @@ def near_pairs(left, right, reach, seed=3, smaller=None):
     Labels and lengths have to agree. Blocks share the squared reach out in
     proportion to their dimensions, so a pair that keeps to the whole keeps to
     the share of one block at least. In a block, a vector meets those whose
-    balls touch its grid cell, and the exact block distance decides.
+    balls touch its grid cell, and the exact block distance decides. The grid
+    is the finer the more rows the largest label has.
     `smaller` may name a condition on the ids a and b.
     """
     keys = ["label", "size", "block", "cell"]
-    one = _blocks(left, reach, seed, False).withColumnRenamed("id", "a").withColumnsRenamed({n: f"l{n}" for n in _X})
-    two = _blocks(right, reach, seed, True).withColumnRenamed("id", "b")
+    rows = [side.groupBy("label").count().agg(F.max("count")).first()[0] or 0 for side in (left, right)]
+    depth = _depth(*rows, reach, seed)
+    one = _blocks(left, reach, seed, depth, False).withColumnRenamed("id", "a").withColumnsRenamed({n: f"l{n}" for n in _X})
+    two = _blocks(right, reach, seed, depth, True).withColumnRenamed("id", "b")
     apart = sum((F.col(f"l{n}").cast("double") - F.col(n)) ** 2 for n in _X)
     width = F.least(F.lit(BLOCK), F.col("size") - F.col("block") * BLOCK)
     budget = reach**2 * width / F.col("size") * (1 + 2 * SLACK) + 2 * SLACK**2
@@ -209,7 +237,9 @@ def _clusters(units, reach, seed):
     best = F.max(F.struct("m", (-F.col("b")).alias("minus"), "rho")).alias("best")
     best = rho.join(centres.select(F.col("id").alias("b"), "m"), "b").groupBy(F.col("a").alias("cls")).agg(best)
     members = best.join(units.select("cls", "n"), "cls").select("cls", (-F.col("best.minus")).alias("c"), "best.rho", "n")
-    return staged(members), centres.drop("m")
+    members = staged(members)
+    # Centres whose vectors all belong to others have nothing to be compared with.
+    return members, staged(centres.drop("m").join(members.select(F.col("c").alias("id")).distinct(), "id", "left_semi"))
 
 
 def _with_units(pairs, a, b):

@@ -102,3 +102,44 @@ def test_chains_reach_further_than_links(spark, frame):
 
 def test_empty_table(spark, frame):
     assert found(frame([], KIND)) == []
+
+
+@pytest.mark.parametrize("depth", [1, 3, 5, 8])
+def test_every_depth_finds_every_pair(depth):
+    """Any two rows of a block within the radius: the one's own cell is among those the other's ball touches."""
+    rng = np.random.default_rng(depth)
+    one = rng.standard_normal((300, 8)) * 0.3
+    two = one + rng.standard_normal((300, 8)) * 0.1
+    radius = 0.3
+    _, own = embeddings._cells(one, radius, depth, False)
+    rows, cells = embeddings._cells(two, radius, depth)
+    touched = set(zip(rows.tolist(), cells.tolist(), strict=True))
+    near = np.flatnonzero(((one - two) ** 2).sum(1) <= radius**2)
+    assert len(near) > 100 and all((i, own[i]) in touched for i in near.tolist())
+
+
+def test_the_grid_is_finer_for_more_rows():
+    depths = [embeddings._depth(n, n, 0.2, 3) for n in (10, 1000, 8000, 32000)]
+    assert depths == sorted(depths) and depths[0] < depths[2] < depths[3] == embeddings.BLOCK
+
+
+def test_few_candidates_among_many_vectors(spark):
+    """Of random vectors of one label, less than 1.2 % of all pairs meet in a block's cells, and all near pairs are found."""
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((8000, 64))
+    vectors[7900:] = vectors[:100] + rng.standard_normal((100, 64)) * 0.1
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    radius = 0.2 * (8 / 64) ** 0.5
+    turned = vectors @ embeddings._rotation(64, 3)
+    depth = embeddings._depth(8000, 8000, 0.2, 3)
+    own = embeddings._cells(turned[:, :8], radius, depth, False)[1]
+    touched = embeddings._cells(turned[:, :8], radius, depth)[1]
+    keys, counts = np.unique(own, return_counts=True)
+    at = np.minimum(np.searchsorted(keys, touched), len(keys) - 1)
+    assert counts[at[keys[at] == touched]].sum() < 0.012 * 8000**2
+
+    some = np.r_[0:300, 7900:8000]
+    df = spark.createDataFrame([(int(i), 1, vectors[i].tolist()) for i in some], "id long, label int, unit array<double>")
+    met = {(r["a"], r["b"]) for r in embeddings.near_pairs(df, df, 0.2, smaller="a < b").collect()}
+    close = {(int(some[i]), int(some[j])) for i, j in zip(*np.nonzero(vectors[some] @ vectors[some].T >= 0.98), strict=True) if i < j}
+    assert close and close <= met
