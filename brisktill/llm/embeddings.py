@@ -22,8 +22,8 @@ from .components import components
 
 # Dimensions of a block. Its range join lays a grid over some of them.
 BLOCK = 8
-# A copy of a row for one more cell is written and sorted; that costs about as much as so many rows of the join.
-COPY_COST = 2
+# A copy of a row for one more cell is written and sorted (4 microseconds measured); a pair met in the join takes under 0.1.
+COPY_COST = 40
 # Slack of the squared-distance budgets: coordinates are kept in single precision.
 SLACK = 1e-5
 # Shells of a cluster by distance from its centre.

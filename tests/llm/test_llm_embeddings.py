@@ -119,24 +119,24 @@ def test_every_depth_finds_every_pair(depth):
 
 
 def test_the_grid_is_finer_for_more_rows():
-    depths = [embeddings._depth(n, n, 0.2, 3) for n in (10, 1000, 8000, 32000)]
-    assert depths == sorted(depths) and depths[0] < depths[2] < depths[3] == embeddings.BLOCK
+    depths = [embeddings._depth(n, n, 0.2, 3) for n in (10, 8000, 32000, 400000)]
+    assert depths == sorted(set(depths)) and depths[3] == embeddings.BLOCK
 
 
 def test_few_candidates_among_many_vectors(spark):
-    """Of random vectors of one label, less than 1.2 % of all pairs meet in a block's cells, and all near pairs are found."""
+    """On the grid of a label with 400,000 rows less than 1 % of all pairs of random vectors meet in a block; none that is near is lost."""
     rng = np.random.default_rng(8)
     vectors = rng.standard_normal((8000, 64))
     vectors[7900:] = vectors[:100] + rng.standard_normal((100, 64)) * 0.1
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     radius = 0.2 * (8 / 64) ** 0.5
     turned = vectors @ embeddings._rotation(64, 3)
-    depth = embeddings._depth(8000, 8000, 0.2, 3)
+    depth = embeddings._depth(400000, 400000, 0.2, 3)
     own = embeddings._cells(turned[:, :8], radius, depth, False)[1]
     touched = embeddings._cells(turned[:, :8], radius, depth)[1]
     keys, counts = np.unique(own, return_counts=True)
     at = np.minimum(np.searchsorted(keys, touched), len(keys) - 1)
-    assert counts[at[keys[at] == touched]].sum() < 0.012 * 8000**2
+    assert counts[at[keys[at] == touched]].sum() < 0.01 * 8000**2
 
     some = np.r_[0:300, 7900:8000]
     df = spark.createDataFrame([(int(i), 1, vectors[i].tolist()) for i in some], "id long, label int, unit array<double>")
