@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..sources.staging import staged
 from .rows import map_batches
@@ -100,6 +101,8 @@ def _order(roles, texts):
     return [(r or "").encode() for r in roles], digest
 
 
+# Bytes of a block that is read back as a whole; a longer turn is a block by itself.
+BLOCK = 1 << 20
 # Rows whose tokens are added up in one task.
 _BUCKET_BITS = 12
 
@@ -113,12 +116,16 @@ def _placed(rows):
     fine = sums.selectExpr("bucket", "coarse", "sum(n) over (partition by coarse order by bucket) - n as b0")
     fine = fine.join(coarse, "coarse").selectExpr("bucket", "c0 + b0 as before")
     within = bucketed.selectExpr("*", "sum(n) over (partition by bucket order by row) - n as inner")
-    placed = staged(within.join(fine, "bucket").withColumn("at", F.col("before") + F.col("inner")).drop("bucket", "before", "inner"))
-    first = staged(placed.groupBy(F.col("conv_id").alias("c")).agg(F.min("row").alias("row0"), F.min("at").alias("at0")))
-    joined = placed.join(first, F.col("conv_id").eqNullSafe(F.col("c")))
-    return joined.select(
-        "conv_id", (F.col("row") - F.col("row0")).alias("position"), (F.col("at") - F.col("at0")).alias("start"), "ids", "mask"
-    )
+    placed = staged(within.join(fine, "bucket").withColumn("at", F.col("before") + F.col("inner")).drop("before", "inner"))
+    # Where a conversation starts is found within its bucket; only the one that a bucket begins with may have started in an earlier one.
+    heads = placed.groupBy("bucket").agg(F.min_by("conv_id", "row").alias("c"))
+    first = placed.groupBy(F.col("conv_id").alias("d")).agg(F.min("row").alias("row0"), F.min("at").alias("at0"))
+    heads = heads.join(first, F.col("c").eqNullSafe(F.col("d"))).select("bucket", "c", "row0", "at0")
+    joined = placed.join(staged(heads), "bucket")
+    own = Window.partitionBy("bucket", "conv_id").orderBy("row")
+    carried = F.col("conv_id").eqNullSafe(F.col("c"))
+    start = [F.when(carried, F.col(f"{n}0")).otherwise(F.first(n).over(own)) for n in ("row", "at")]
+    return joined.select("conv_id", (F.col("row") - start[0]).alias("position"), (F.col("at") - start[1]).alias("start"), "ids", "mask")
 
 
 def read_back(formatted, paths=None):
@@ -126,8 +133,9 @@ def read_back(formatted, paths=None):
 
     conv_id, n_turns, turns_sha256 (of role, \\n, text, \\n per turn),
     loss_chars, loss_sha256 (all text under the mask), formatted_chars. Turns
-    are decoded where they lie; a conversation's digests need its turns in
-    order, so those pass one task as a stream, without being held.
+    are decoded where they lie, and neighbours joined to blocks of about
+    `BLOCK` bytes there; a conversation's digests need its text in order, so its
+    blocks pass one task as a stream that is hashed and not held.
     """
     paths = paths or [tokenizer_path(name) for name in TOKENIZER]
 
@@ -140,8 +148,7 @@ def read_back(formatted, paths=None):
                 taken_apart(decode, np.frombuffer(ids, "<u4"), np.frombuffer(mask, np.int8))
                 for ids, mask in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             ]
-            said = [f"{role}\n{text}\n" for role, text, _, _ in found]
-            return [batch.column(0), batch.column(1), said, [f[2] for f in found], [f[3] for f in found]]
+            return _joined(batch.column(0), batch.column(1).to_pylist(), found)
 
         return work
 
@@ -150,8 +157,10 @@ def read_back(formatted, paths=None):
         [
             kind,
             T.StructField("position", T.LongType()),
-            T.StructField("said", T.StringType()),
-            T.StructField("under", T.StringType()),
+            T.StructField("n", T.LongType()),
+            T.StructField("said", T.BinaryType()),
+            T.StructField("under", T.BinaryType()),
+            T.StructField("loss", T.LongType()),
             T.StructField("chars", T.LongType()),
         ]
     )
@@ -175,15 +184,15 @@ def read_back(formatted, paths=None):
             done = []
             key = batch.column(0)
             columns = [c.to_pylist() for c in batch.columns]
-            for conv, _, said, under, chars in zip(*columns, strict=True):
+            for conv, _, n, said, under, loss, chars in zip(*columns, strict=True):
                 if held is None or held[0] != conv:
                     if held is not None:
                         done.append(_closed(held))
                     held = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                held[1] += 1
-                held[2].update(said.encode())
-                held[3] += len(under)
-                held[4].update(under.encode())
+                held[1] += n
+                held[2].update(said)
+                held[3] += loss
+                held[4].update(under)
                 held[5] += chars
             if done:
                 yield _batch(done, key.type, names)
@@ -193,6 +202,31 @@ def read_back(formatted, paths=None):
     return ordered.mapInArrow(digests, out)
 
 
+def _joined(conversations, positions, found):
+    """Columns of blocks: (conv_id, position of the first turn, turns, what they say, text under the mask, its characters, formatted characters).
+
+    Turns that follow each other in the batch and in their conversation share a block until it is full.
+    """
+    names = conversations.to_pylist()
+    sources, blocks, full = [], [], True
+    for i, (role, text, under, chars) in enumerate(found):
+        if full or names[i] != names[i - 1] or positions[i] != positions[i - 1] + 1:
+            sources.append(i)
+            blocks.append([positions[i], 0, [], [], 0, 0])
+            size = 0
+        block = blocks[-1]
+        said, trained = f"{role}\n{text}\n".encode(), under.encode()
+        block[1] += 1
+        block[2].append(said)
+        block[3].append(trained)
+        block[4] += len(under)
+        block[5] += chars
+        size += len(said) + len(trained)
+        full = size >= BLOCK
+    rows = [(p, n, b"".join(said), b"".join(under), loss, chars) for p, n, said, under, loss, chars in blocks]
+    return [conversations.take(pa.array(sources, pa.int64())), *(zip(*rows, strict=True) if rows else [[]] * 6)]
+
+
 def _closed(held):
     return (held[0], held[1], held[2].hexdigest(), held[3], held[4].hexdigest(), held[5])
 

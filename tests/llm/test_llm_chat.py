@@ -94,3 +94,27 @@ def test_empty_table(spark, frame):
 def test_reserved_ids_lie_beyond_the_vocabulary(encoder):
     assert encoder.tokenizer.get_vocab_size() <= min(chat.RESERVED.values())
     assert np.unique(list(chat.RESERVED.values())).size == len(chat.RESERVED)
+
+
+def test_blocks_of_a_conversation_over_many_tasks(spark, frame, monkeypatch):
+    """Whatever the size of blocks and buckets, the digests are those of the turns in order."""
+    monkeypatch.setattr(chat, "_BUCKET_BITS", 4)
+    monkeypatch.setattr(chat, "BLOCK", 200)
+    rows = [(None if i < 50 else 7, i, "user" if i % 3 else "assistant", f"é{i} " * (i % 11)) for i in range(700)]
+    rows += [(c, 0, "assistant", "x" * c) for c in range(40)]
+    formatted = chat.format_turns(frame(rows, KIND).repartition(5))
+    found = {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(formatted).collect()}
+    held = {}
+    for row in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        held.setdefault(row[0], []).append(row)
+    assert found == expected([r for part in held.values() for r in part])
+
+
+def test_turns_join_only_their_neighbours():
+    import pyarrow as pa
+
+    turn = ("user", "a", "", 5)
+    columns = chat._joined(pa.array([1, 1, 2, 2, None, None]), [0, 1, 0, 2, 0, 1], [turn] * 6)
+    assert columns[0].to_pylist() == [1, 2, 2, None]
+    assert list(columns[1]) == [0, 0, 2, 0] and list(columns[2]) == [2, 1, 1, 2]
+    assert columns[3][0] == b"user\na\n" * 2
