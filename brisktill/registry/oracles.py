@@ -946,4 +946,6 @@ ORACLES |= {
                cast({_leading("$.items[0].quantity")} + {_leading("$.items[1].quantity")} AS int) AS quantity
         FROM judged WHERE reason IS NULL""",
     "stream_sold": ORACLES["post_bills_sold"],
+    "bill_lines_bucketed": ORACLES["bill_items_flat"],
+    "bill_documents_bucketed": ORACLES["bill_documents"],
 }

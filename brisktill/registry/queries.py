@@ -7,7 +7,7 @@ from ..functions.text import loose
 from ..operators import changes, diff, joins, numbering, posting, pricing, reads, search, settings, validate
 from ..plans import dashboard, newest, reports, standing
 from ..schemas import BILL_ITEMS, BILLS
-from ..sources import monthly, samples
+from ..sources import bucketed, monthly, samples
 from ..sources.documents import parse_bill_documents, parse_bodies, split_documents
 from ..sources.seed import empty_table
 from ..sources.staging import scratch, staged
@@ -215,6 +215,10 @@ def bill_items_flat(spark, folder):
     return reads.bill_lines(bills, samples.users(spark, folder), samples.bill_items(spark, folder))
 
 
+def _line(item):
+    return F.concat_ws(":", *[item[c].cast("string") for c in samples.LINE_ORDER], F.when(item["is_return"], "R").otherwise("S"))
+
+
 def _bill_documents(spark, folder, part_size):
     bills = samples.bills(spark, folder).select("id", "bill_number", "total_amount", "created_by")
     return reads.bill_documents(
@@ -229,12 +233,7 @@ def _bill_documents(spark, folder, part_size):
 @registered
 def bill_documents(spark, folder):
     documents = _bill_documents(spark, folder, reads.PART_SIZE)
-    line = F.transform(
-        "items",
-        lambda i: F.concat_ws(
-            ":", *[i[c].cast("string") for c in samples.LINE_ORDER], F.when(i["is_return"], "R").otherwise("S")
-        ),
-    )
+    line = F.transform("items", _line)
     return documents.select("id", "bill_number", "cashier_name", "part", "parts", F.array_join(line, ",").alias("items"))
 
 
@@ -915,6 +914,31 @@ def delete_bills_monthly(spark, folder):
     return sums[0].unionByName(sums[1])
 
 
+# ---- bills and items in buckets of the bill's id
+
+
+def _bucketed(spark, folder, *columns):
+    bills, items = samples.bills(spark, folder).select(*columns), samples.bill_items(spark, folder)
+    path = scratch(spark)
+    return bucketed.write(spark, bills, items, path, f"store_{path[-32:]}", bucketed.bucket_count(items))
+
+
+@registered
+def bill_lines_bucketed(spark, folder):
+    """The rows of `bill_items_flat`, from bucketed tables."""
+    store = _bucketed(spark, folder, "id", "bill_number", "customer_name", "total_amount", "created_by")
+    return bucketed.bill_lines(store, samples.users(spark, folder))
+
+
+@registered
+def bill_documents_bucketed(spark, folder):
+    """The rows of `bill_documents`, from bucketed tables."""
+    store = _bucketed(spark, folder, "id", "bill_number", "total_amount", "created_by")
+    documents = bucketed.bill_documents(store, samples.users(spark, folder), samples.LINE_ORDER)
+    line = F.transform("items", _line)
+    return documents.select("id", "bill_number", "cashier_name", "part", "parts", F.array_join(line, ",").alias("items"))
+
+
 # ---- request bodies field by field
 
 
