@@ -17,10 +17,11 @@ DEPTH = 8
 # Shorter lines coincide without being copied: they recur only once so many documents have them.
 LEAST_TOKENS = 5
 COMMON_DOCUMENTS = 10
-# The tail of a line is compared with that of its leaf's first line by segments; half of those with a
-# token have to agree, and so many at least.
+# Tails of a leaf's lines are compared by segments; half of those with a token have to agree, and so many at least.
 SEGMENTS = 8
 LEAST_ALIKE = 2
+# Leaves with at most so many different tails are compared in one row, others by keys.
+TAILS_AT_ONCE = 64
 
 _DIGIT = re.compile(r"\d")
 WILD = "<*>"
@@ -125,24 +126,62 @@ def _common(short):
     return found.filter(F.col("n") >= COMMON_DOCUMENTS).select("exact", "first")
 
 
+def _choices():
+    """Per number of filled segments from `LEAST_ALIKE`: masks over (tail, rest) of the smallest sets of segments that are enough."""
+    out = []
+    for filled in range(LEAST_ALIKE, SEGMENTS + 1):
+        masks = []
+        for chosen in itertools.combinations(range(filled), max(LEAST_ALIKE, -(-filled // 2))):
+            halves = [sum(0xFFFF << 16 * (3 - c % 4) for c in chosen if c // 4 == half) for half in (0, 1)]
+            masks.append([h - (h >> 63 << 64) for h in halves])
+        out.append(masks)
+    return out
+
+
+def _first_alike(tails):
+    """(leaf, tail, rest, first): per tail of a leaf the first document that has an alike one, its own documents among them.
+
+    `tails` are the different ones, with their first document. In a leaf of
+    few tails each meets all others. In a larger one two tails are alike if
+    they have all values of one of the smallest sufficient sets of segments in
+    common; the first document is found per such set and no pairs are made.
+    """
+    crowded = tails.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TAILS_AT_ONCE).select("leaf")
+    crowded = staged(crowded)
+    few = tails.join(crowded, "leaf", "left_anti").groupBy("leaf").agg(F.collect_list(F.struct("tail", "rest", "first", "filled")).alias("all"))
+
+    def earliest(one, every):
+        close = F.filter(every, lambda o: alike((one["tail"], one["rest"]), (o["tail"], o["rest"]), one["filled"]))
+        return F.array_min(F.transform(close, lambda o: o["first"]))
+
+    met = F.transform("all", lambda one: F.struct(one["tail"].alias("tail"), one["rest"].alias("rest"), earliest(one, F.col("all")).alias("first")))
+    near = few.select("leaf", F.inline(met))
+
+    sets = F.array(*[F.array(*[F.struct(*[F.lit(m).cast("long").alias(n) for m, n in zip(masks, ("m0", "m1"), strict=True)]) for masks in group]) for group in _choices()])
+    many = tails.join(crowded, "leaf", "left_semi").withColumn("m", F.explode(F.element_at(sets, (F.col("filled") - LEAST_ALIKE + 1).cast("int"))))
+    many = many.select("leaf", "tail", "rest", "first", "m", F.col("tail").bitwiseAND(F.col("m.m0")).alias("a"), F.col("rest").bitwiseAND(F.col("m.m1")).alias("b"))
+    by_set = staged(many.groupBy("leaf", "m", "a", "b").agg(F.min("first").alias("earliest")))
+    found = many.join(by_set, ["leaf", "m", "a", "b"]).groupBy("leaf", "tail", "rest").agg(F.min("earliest").alias("first"))
+    return near.unionByName(found)
+
+
 def recurring(rows):
     """(key, line) of the lines whose template an earlier document has.
 
     Earlier is a smaller id; a null id comes last. A line recurs if an earlier
-    document has the same line but for variable fields, or if the first line of
-    its leaf (of several in its document, the top one) is an earlier document's and agrees on half of the segments of the tail that hold a token,
+    document has the same line but for variable fields, or a line of the same
+    leaf that agrees on half of the segments of the tail that hold a token,
     and on `LEAST_ALIKE` at least. A line of fewer than `LEAST_TOKENS` tokens has to be the same in
     `COMMON_DOCUMENTS` documents.
     """
-    later = (F.col("doc") > F.col("first")) | F.col("doc").isNull()
+    later = (F.col("doc") > F.col("first")) | (F.col("doc").isNull() & F.col("first").isNotNull())
     short, rows = rows.filter("leaf is null"), rows.filter("leaf is not null")
     shared = staged(_shared(rows, "exact").unionByName(_common(short)))
     same = rows.unionByName(short).join(shared, "exact").filter(later).select("key", "line")
-    in_leaf = staged(rows.join(staged(_shared(rows, "leaf")), "leaf").select("key", "line", "leaf", "tail", "rest", "filled", later.alias("later")))
-    top = F.min(F.struct("line", "tail", "rest"))
-    model = staged(in_leaf.filter("not later").groupBy("leaf").agg(top.alias("top")).select("leaf", "top.tail", "top.rest").toDF("leaf", "tail0", "rest0"))
-    signature = (F.col("tail"), F.col("rest")), (F.col("tail0"), F.col("rest0"))
-    close = in_leaf.filter("later").join(model, "leaf").filter(alike(*signature, F.col("filled")))
+    signed = rows.filter(F.col("filled") >= LEAST_ALIKE)
+    in_leaf = staged(signed.join(staged(_shared(signed, "leaf").select("leaf")), "leaf").select("key", "doc", "line", "leaf", "tail", "rest", "filled"))
+    tails = staged(in_leaf.groupBy("leaf", "tail", "rest").agg(F.min("doc").alias("first"), F.first("filled").alias("filled")))
+    close = in_leaf.join(staged(_first_alike(tails)), ["leaf", "tail", "rest"]).filter(later)
     return same.unionByName(close.select("key", "line"))
 
 

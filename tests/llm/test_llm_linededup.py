@@ -1,7 +1,9 @@
+import random
 import re
 from collections import defaultdict
 
 import llm_fixtures as fx
+import pytest
 
 from brisktill.llm import linededup
 from brisktill.llm.queries import QUERIES
@@ -26,22 +28,20 @@ def brute(docs):
     """[(id, text)] to [(id, lines dropped, rest)] by walking all lines; a null id is a document, the last one."""
     rank = lambda i: (i is None, i or 0)
     rows = [(n, k, rank(i), found) for n, (i, t) in enumerate(docs) for k, line in enumerate((t or "").split("\n")) if (found := words_of(line))]
-    whole, leaves, holders = {}, {}, defaultdict(set)
+    whole, leaves, holders = {}, defaultdict(set), defaultdict(set)
     for n, k, doc, words in rows:
         if len(words) < 5:
             holders[words].add(doc)
             continue
         whole[words] = min(whole.get(words, doc), doc)
-        leaf = (len(words), words[:8])
-        leaves[leaf] = min(leaves.get(leaf, (doc, k, words)), (doc, k, words))
+        leaves[len(words), words[:8]].add((doc, words[8:]))
     drop = defaultdict(set)
     for n, k, doc, words in rows:
         if len(words) < 5:
             if len(holders[words]) >= 10 and min(holders[words]) < doc:
                 drop[n].add(k)
             continue
-        first, _, model = leaves[len(words), words[:8]]
-        if whole[words] < doc or first < doc and agree(words[8:], model[8:]):
+        if whole[words] < doc or any(first < doc and agree(words[8:], tail) for first, tail in leaves[len(words), words[:8]]):
             drop[n].add(k)
     return [(i, len(drop[n]), t if not drop[n] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[n])) for n, (i, t) in enumerate(docs)]
 
@@ -52,6 +52,36 @@ def test_query_equals_brute_force(spark, folder):
     assert found == sorted(brute(docs)) and any(n for _, n, _ in found)
 
 
+def leafy(n, rng):
+    """Lines of a few leaves whose tails share some words with one another, of every tail length up to ten."""
+    rows = []
+    for i in range(n):
+        lines = []
+        for _ in range(2):
+            length = rng.randint(0, 10)
+            lines.append(" ".join(["one opening that all the lines here have", *(rng.choice("abcdefg") * 2 for _ in range(length))]))
+        rows.append((None if i % 50 == 7 else rng.randint(0, n // 2), "\n".join(lines)))
+    return rows
+
+
+@pytest.mark.parametrize("at_once", [0, 3, 1000])
+def test_lines_meet_every_earlier_line_of_their_leaf(spark, frame, monkeypatch, at_once):
+    monkeypatch.setattr(linededup, "TAILS_AT_ONCE", at_once)
+    docs = leafy(150, random.Random(4))
+    found = [(r["doc_id"], r["n_dropped"], r["text"]) for r in linededup.dedup(frame(docs, "doc_id long, text string")).collect()]
+    wanted = brute(docs)
+    assert sorted(found, key=repr) == sorted(wanted, key=repr) and 30 < sum(n for _, n, _ in wanted) < 250
+
+
+def test_later_templates_of_a_leaf_count(spark, frame):
+    """Two families of lines begin alike; the second one's recurrence goes too."""
+    head = "please note that all of these opening hours"
+    families = ["are valid from monday to friday in the shop of {}", "may change without notice when {} keeps a public holiday here"]
+    docs = [(i, head + " " + families[i % 2].format(name)) for i, name in enumerate(["Berlin", "London", "Paris", "Rome"])]
+    found = {r["doc_id"]: r["text"] for r in linededup.dedup(frame(docs, "doc_id long, text string")).collect()}
+    assert found == {0: docs[0][1], 1: docs[1][1], 2: "", 3: ""}
+
+
 def test_awkward_rows(spark):
     docs = fx.clashing(fx.awkward(spark))
     found = linededup.dedup(docs, count_col="dropped_here")
