@@ -966,14 +966,15 @@ def bodies_rejected(spark, folder):
 
 @registered
 def stream_sold(spark, folder):
-    """The lines of `post_bills_sold`, which arrive in three files and are sold file by file."""
+    """The lines of `post_bills_sold`, which arrive in three parts and are sold part by part."""
     items = _post(spark, folder).bill_items
     lines = staged(items.filter("product_id is not null").select(F.col("id").alias("line_id"), "product_id", F.col("quantity").cast("long").alias("quantity")))
     last = lines.agg(F.max("line_id")).first()[0] or 0
     inbox, out, checkpoint = scratch(spark), scratch(spark), scratch(spark)
     for part in range(3):
         own = lines.filter(F.least(F.floor(F.col("line_id") * 3 / (last + 1)), F.lit(2)) == part)
-        own.coalesce(1).write.mode("append").parquet(inbox)
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    sell_available(stream, samples.products(spark, folder), out, checkpoint, partitions=4)
+        own.write.mode("append").parquet(inbox)
+        # All files that have arrived are one micro-batch.
+        stream = spark.readStream.schema(lines.schema).parquet(inbox)
+        sell_available(stream, samples.products(spark, folder), out, checkpoint, partitions=4)
     return spark.read.parquet(out).drop("stock")

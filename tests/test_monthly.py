@@ -4,9 +4,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from brisktill.operators.stock import apply_stock
 from brisktill.sources import monthly
 from brisktill.sources.documents import parse_bodies
 from brisktill.sources.tables import VersionTaken, _claim, publish, published_version, read_published
+from brisktill.streaming import stock
 from brisktill.streaming.stock import sell_available
 
 BILLS = "id long, created_at timestamp_ntz, customer_name string"
@@ -118,3 +120,17 @@ def test_stock_state_goes_on_after_a_restart(spark, frame, tmp_path):
     sell_available(stream(), products.limit(0), out, checkpoint, partitions=2)
     found = {r["line_id"]: (r["accepted"], r["stock"]) for r in spark.read.parquet(out).collect()}
     assert found == {1: (True, 7), 2: (False, 7), 3: (True, 4), 5: (True, 1), 6: (False, 1), 7: (False, None), 8: (True, 1), 9: (True, 0), 10: (True, 0), 11: (False, 0)}
+
+
+def test_state_of_a_stream_is_kept_per_shelf_of_products(spark, frame, tmp_path, monkeypatch):
+    schema = "line_id long, product_id long, quantity long"
+    lines = [(n, 1 + n * 7 % 40, 1 + n % 5) for n in range(400)]
+    products = frame([(p, 30 + p) for p in range(1, 38)] + [(None, 5), (38, None)], "id int, stock int")
+    monkeypatch.setattr(stock, "SHELVES", 3)
+    inbox, out, checkpoint = (str(tmp_path / n) for n in ("inbox", "out", "checkpoint"))
+    for part in (lines[:200], lines[200:]):
+        frame(part, schema).repartition(4).write.mode("append").parquet(inbox)
+        sell_available(spark.readStream.schema(schema).parquet(inbox), products, out, checkpoint, partitions=2)
+    sold = {r["line_id"]: r["accepted"] for r in spark.read.parquet(out).collect()}
+    expected = apply_stock(frame(lines, schema), products.filter("id is not null"))
+    assert sold == {r["line_id"]: r["accepted"] for r in expected.lines.collect()}
