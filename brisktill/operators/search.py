@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import loose
+from ..sources.staging import staged
 
 GRAM = 3
 # Terms that texts beyond the index are scanned for in one batch.
 SCANNED_TERMS = 10_000
+# The entries of a group are dealt to so many parts where terms meet them: a group may be in all texts.
+PARTS = 64
 _PLAIN = "^[ -~]*$"
 
 
@@ -61,6 +64,8 @@ def gram_index(table, columns, key="id"):
     Rows added or changed later join it as `gram_index` of those rows: an entry
     that is out of date costs a comparison and finds nothing.
     """
+    # Few files with many texts would else be taken apart by as few tasks.
+    table = table.select(key, *columns).repartition(key, *columns)
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns]))
     texts = table.select(key, fields.alias("entry")).select(key, "entry.*").filter(F.col("text").isNotNull())
     texts = texts.filter(is_indexed(F.col("text"))).withColumn("text", folded(F.col("text")))
@@ -69,12 +74,15 @@ def gram_index(table, columns, key="id"):
 
 
 def _rarest(terms, index):
-    """Per term the group that fewest texts have; a term with a group that no text has is left out."""
+    """Per term the group that fewest texts have; a term with a group that no text has is left out.
+
+    Entries are counted before they meet the terms, so the index is not shuffled.
+    """
     folds = terms.select("term", folded(F.col("term")).alias("_fold")).distinct()
     size = F.least(F.length("_fold"), F.lit(GRAM))
     groups = F.transform(F.sequence(F.lit(1), F.length("_fold") - size + 1), lambda i: F.substring(F.col("_fold"), i, size))
     asked = folds.select("term", F.explode(F.array_distinct(groups)).alias("gram"))
-    known = index.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    known = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
     counted = asked.join(known, "gram", "left")
     first = Window.partitionBy("term").orderBy(F.col("_n").asc_nulls_first(), "gram")
     return counted.withColumn("_r", F.row_number().over(first)).filter((F.col("_r") == 1) & F.col("_n").isNotNull()).select("term", "gram")
@@ -91,7 +99,10 @@ def matches(terms, index, table, columns, key="id"):
     """
     terms = terms.select("term").filter(F.col("term").isNotNull()).distinct()
     latin = terms.filter(is_indexed(F.col("term")) & (F.length(folded(F.col("term"))) > 0))
-    found = _rarest(latin, index).join(index, "gram").select("term", "field", key)
+    # Stored, so that Spark knows how few they are and leaves the index where it lies; dealt, so that no group meets many terms in one task.
+    rarest = staged(_rarest(latin, index)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = index.withColumn("_part", F.pmod(F.xxhash64(key, "field"), F.lit(PARTS)).cast("int"))
+    found = rarest.join(dealt, ["gram", "_part"]).select("term", "field", key)
     texts = table.select(key, *columns)
     value = F.coalesce(*[F.when(F.col("field") == c, F.col(c)) for c in columns])
     by_index = found.join(texts, key).filter(holds(value, F.col("term"))).select("term", key)

@@ -62,3 +62,16 @@ def test_latin_terms_meet_the_index_by_equal_groups(spark, folder):
 
     text = plan(QUERIES["bill_search_terms"](spark, folder))
     assert "NestedLoop" not in text and "Cartesian" not in text and "gram" in text
+
+
+def test_index_is_taken_apart_by_many_tasks_and_never_shuffled_by_group(spark):
+    text = F.concat(F.lit("common words "), F.col("id").cast("string"))
+    table = spark.range(0, 60000, 1, 1).select("id", text.alias("name"))
+    index = search.gram_index(table, ["name"])
+    assert "hashpartitioning(id" in plan(index)
+    asked = terms_of(spark, ["common", "words 7"])
+    found = search.matches(asked, index, table, ["name"])
+    joins = [line for line in plan(found).split("\n") if "Exchange hashpartitioning(gram" in line]
+    assert not joins
+    counts = {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}
+    assert counts == {"common": 60000, "words 7": table.filter("name like '%words 7%'").count()}
