@@ -15,6 +15,8 @@ from ..sources.staging import staged
 BUCKET_BITS = 16
 # The most rows of one key that are sorted by one task.
 TASK_ROWS = 1 << 20
+# Keys are counted by so many hash values first.
+CROWDS = 1 << 14
 
 _BUCKET = "_bucket"
 _COARSE = "_coarse"
@@ -35,11 +37,18 @@ def with_bucket(df, buckets):
 def split_hot(df, keys, task_rows=TASK_ROWS):
     """(rows of ordinary keys, rows of keys with more than `task_rows` rows or None if there are none).
 
-    Keys are counted when this is called. Without hot keys the rows stay as they
+    Keys are counted when this is called. No key is hot if no hash value of the
+    keys has too many rows; that count has few groups and shuffles next to
+    nothing, and only rows of such values are counted key by key. Without hot keys the rows stay as they
     are and are read once; else the hot keys are stored, so that Spark knows how
     many there are before it chooses how to join them.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    crowd = F.pmod(F.xxhash64(*keys), F.lit(CROWDS))
+    crowds = df.groupBy(crowd.alias("_crowd")).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > task_rows)
+    crowded = [row["_crowd"] for row in crowds.collect()]
+    if not crowded:
+        return df, None
+    counts = df.filter(crowd.isin(crowded)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = counts.filter(F.col("_rows") > task_rows).select(*keys)
     if hot.isEmpty():
         return df, None

@@ -51,7 +51,8 @@ def rebuild_counters(customers, bills):
 
 def _line_problems(lines, products):
     """Per draft: line count, ids to reserve and what is wrong with its lines."""
-    missing = missing_parents(lines, "product_id", products).withColumnRenamed("product_id", "_product")
+    # Stored, so that Spark knows how few they are and leaves the lines where they lie.
+    missing = staged(missing_parents(lines, "product_id", products)).withColumnRenamed("product_id", "_product")
     keyed = lines.withColumn("_product", spread_key(F.col("product_id"), F.struct("seq", "pos")))
     marked = keyed.join(missing.withColumn("_missing", F.lit(True)), "_product", "left")
     quantity = F.col("quantity")
@@ -109,7 +110,7 @@ class Posting:
         for column in _AMOUNTS:
             header = header.withColumn(column, to_money(F.coalesce(F.col(column), F.lit(0))))
 
-        stranger = missing_parents(header, "customer_id", self._customers).withColumnRenamed("customer_id", "_customer")
+        stranger = staged(missing_parents(header, "customer_id", self._customers)).withColumnRenamed("customer_id", "_customer")
         header = (
             header.withColumn("_customer", spread_key(F.col("customer_id"), F.col("seq")))
             .join(stranger.withColumn("_stranger", F.lit(True)), "_customer", "left")

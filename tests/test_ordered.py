@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from brisktill.operators import ordered
 from brisktill.operators.numbering import assign_bill_numbers, assign_ids, assign_parent_and_child_ids
 from brisktill.operators.ordered import bucket, previous_row, running_sums
 
@@ -74,3 +75,12 @@ def test_bill_numbers_go_on_within_a_day(spark):
     assert [r["bill_number"] for r in numbered.orderBy("seq").collect()] == [
         "BILL-20240101-0010", "BILL-20240102-0001", "BILL-20240101-0011",
     ]
+
+
+@pytest.mark.parametrize("crowds", [1, 2, 1 << 14])
+def test_hot_keys_are_found_among_crowded_hashes(spark, monkeypatch, crowds):
+    monkeypatch.setattr(ordered, "CROWDS", crowds)
+    df = spark.createDataFrame([(k, n) for k in [None, *range(1, 9)] for n in range(30 if k == 3 or k is None else 4)], "k long, n long")
+    cold, hot = ordered.split_hot(df, ["k"], 10)
+    assert {r["k"] for r in hot.collect()} == {3} and hot.count() == 30 and cold.count() == 58
+    assert ordered.split_hot(df, ["k"], 1000)[1] is None

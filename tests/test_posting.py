@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from brisktill.operators import posting, pricing
 from brisktill.operators.joins import find_or_create_customers
-from brisktill.operators.posting import Posting, delete_bills
+from brisktill.operators.posting import Posting, delete_bills, _line_problems
 from brisktill.schemas import BILL_ITEMS, BILL_PAYMENTS, BILLS
 from brisktill.sources.documents import parse_bill_documents, read_bill_documents, split_documents
 from brisktill.sources.seed import empty_table, seed_tables
@@ -223,3 +223,12 @@ def test_counts_of_nothing(spark, store):
     batch = Posting(drafts, lines, store["products"], store["customers"], store["bills"], store["bill_items"])
     assert set(batch.outcome_counts.values()) == {0}
     assert batch.store_sold()[1] == {"sold": 0, "skipped": 0}
+
+
+def test_lines_are_not_shuffled_to_find_unknown_products(spark, frame):
+    number = F.col("id")
+    money = [F.lit(None).cast("decimal(10,2)").alias(c) for c in ("unit_price", "discount_percentage", "discount_amount", "subtotal")]
+    lines = spark.range(2_000_000).select(F.floor(number / 4).alias("seq"), (number % 4).alias("pos"), (number % 50).alias("product_id"), F.lit("").alias("product_name"), F.lit(1.0).alias("quantity"), *money)
+    found = _line_problems(lines, frame([(i,) for i in range(1, 50)], "id long"))
+    assert "Exchange hashpartitioning(_product" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.filter(F.size("_line_reasons") > 0).count() == 40_000
