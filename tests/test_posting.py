@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from brisktill.operators import posting, pricing
 from brisktill.operators.joins import find_or_create_customers
-from brisktill.operators.posting import Posting, delete_bills, _line_problems
+from brisktill.operators.posting import Posting, _line_problems, delete_bills
 from brisktill.schemas import BILL_ITEMS, BILL_PAYMENTS, BILLS
 from brisktill.sources.documents import parse_bill_documents, read_bill_documents, split_documents
 from brisktill.sources.seed import empty_table, seed_tables
