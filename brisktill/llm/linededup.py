@@ -127,24 +127,82 @@ def _common(short):
 
 
 def _choices():
-    """Per number of filled segments from `LEAST_ALIKE`: masks over (tail, rest) of the smallest sets of segments that are enough."""
+    """Per number of filled segments from `LEAST_ALIKE`: pairs of segments, and per pair the smallest sets that are enough and have it as their first pair.
+
+    Two alike tails agree on all of such a set, and so on its pair. Pairs and sets are masks over (tail, rest).
+    """
+
+    def mask(chosen):
+        halves = [sum(0xFFFF << 16 * (3 - c % 4) for c in chosen if c // 4 == half) for half in (0, 1)]
+        return [h - (h >> 63 << 64) for h in halves]
+
     out = []
     for filled in range(LEAST_ALIKE, SEGMENTS + 1):
-        masks = []
-        for chosen in itertools.combinations(range(filled), max(LEAST_ALIKE, -(-filled // 2))):
-            halves = [sum(0xFFFF << 16 * (3 - c % 4) for c in chosen if c // 4 == half) for half in (0, 1)]
-            masks.append([h - (h >> 63 << 64) for h in halves])
-        out.append(masks)
+        enough = max(LEAST_ALIKE, -(-filled // 2))
+        # Of so many segments two lie in the same one of `enough - 1` groups.
+        below = {p: [] for p in itertools.combinations(range(filled), 2) if (p[1] - p[0]) % (enough - 1) == 0}
+        for chosen in itertools.combinations(range(filled), enough):
+            below[next(p for p in below if set(p) <= set(chosen))].append(mask(chosen))
+        out.append([(mask(p), sets) for p, sets in below.items()])
     return out
 
 
+def _masks(masks):
+    return F.array(*[F.struct(*[F.lit(m).cast("long").alias(n) for m, n in zip(mask, ("m0", "m1"), strict=True)]) for mask in masks])
+
+
+def _masked(rows, masks, number, a, b):
+    """`rows` once per mask of a list, with the mask's number and the parts of the tail under it."""
+    rows = rows.select(*rows.columns, F.posexplode(masks).alias(number, "m"))
+    return rows.withColumns({a: F.col("tail").bitwiseAND(F.col("m.m0")), b: F.col("rest").bitwiseAND(F.col("m.m1"))}).drop("m")
+
+
+def _later(doc, first):
+    return (doc > first) | (doc.isNull() & first.isNotNull())
+
+
+def _earlier_in_crowd(tails):
+    """(leaf, tail, rest, first): per tail an earlier document than its own first one that has an alike tail, or its own if there is none.
+
+    Alike tails have a pair of segments in common. Each tail first meets the
+    earliest one of those with the same pair; most near copies are settled by
+    that. If none is earlier, no alike one under this pair is. What stays open
+    is looked up by the pair's sufficient sets among the tails that have the
+    pair, so few tails are taken by all their sets and no pairs of tails are made.
+    """
+    choices = _choices()
+    filled = (F.col("filled") - LEAST_ALIKE + 1).cast("int")
+    pairs = F.element_at(F.array(*[_masks([pair for pair, _ in group]) for group in choices]), filled)
+    sets = F.element_at(F.element_at(F.array(*[F.array(*[_masks(below) for _, below in group]) for group in choices]), filled), F.col("pair") + 1)
+    tail, bucket = ["leaf", "tail", "rest"], ["leaf", "pair", "a", "b"]
+
+    paired = _masked(tails, pairs, "pair", "a", "b")
+    # Stored, so that a short list is known as such and near copies, who share their pairs, are not dealt by them.
+    leads = staged(paired.groupBy(bucket).agg(F.min(F.struct(F.col("first").isNull().alias("unnamed"), "first", "tail", "rest")).alias("lead")))
+    earlier = _later(F.col("first"), F.col("lead.first"))
+    close = alike((F.col("tail"), F.col("rest")), (F.col("lead.tail"), F.col("lead.rest")), F.col("filled"))
+    met = paired.join(leads, bucket).withColumns({"earlier": earlier, "close": close})
+    settled = met.groupBy(tail).agg(
+        F.first("first").alias("first"),
+        F.first("filled").alias("filled"),
+        F.min(F.when(F.col("earlier") & F.col("close"), F.col("lead.first"))).alias("found"),
+        F.collect_list(F.when(F.col("earlier") & ~F.col("close"), F.struct("pair", "a", "b"))).alias("open"),
+    )
+    settled = staged(settled)
+
+    asked = settled.filter("found is null").select(*tail, "filled", F.inline("open"))
+    members = paired.join(staged(asked.select(bucket).distinct()), bucket, "left_semi")
+    one_set = ["leaf", "pair", "set", "part", "other"]
+    by_set = _masked(members, sets, "set", "part", "other").groupBy(one_set).agg(F.min("first").alias("earliest"))
+    answers = _masked(asked, sets, "set", "part", "other").join(by_set, one_set).groupBy(tail).agg(F.min("earliest").alias("earliest"))
+    return settled.join(answers, tail, "left").select(*tail, F.least("first", "found", "earliest").alias("first"))
+
+
 def _first_alike(tails):
-    """(leaf, tail, rest, first): per tail of a leaf the first document that has an alike one, its own documents among them.
+    """(leaf, tail, rest, first): per tail of a leaf a document that has an alike one, earlier than the tail's own first one if any is.
 
     `tails` are the different ones, with their first document. In a leaf of
-    few tails each meets all others. In a larger one two tails are alike if
-    they have all values of one of the smallest sufficient sets of segments in
-    common; the first document is found per such set and no pairs are made.
+    few tails each meets all others; larger ones are compared by keys.
     """
     crowded = tails.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TAILS_AT_ONCE).select("leaf")
     crowded = staged(crowded)
@@ -156,13 +214,7 @@ def _first_alike(tails):
 
     met = F.transform("all", lambda one: F.struct(one["tail"].alias("tail"), one["rest"].alias("rest"), earliest(one, F.col("all")).alias("first")))
     near = few.select("leaf", F.inline(met))
-
-    sets = F.array(*[F.array(*[F.struct(*[F.lit(m).cast("long").alias(n) for m, n in zip(masks, ("m0", "m1"), strict=True)]) for masks in group]) for group in _choices()])
-    many = tails.join(crowded, "leaf", "left_semi").withColumn("m", F.explode(F.element_at(sets, (F.col("filled") - LEAST_ALIKE + 1).cast("int"))))
-    many = many.select("leaf", "tail", "rest", "first", "m", F.col("tail").bitwiseAND(F.col("m.m0")).alias("a"), F.col("rest").bitwiseAND(F.col("m.m1")).alias("b"))
-    by_set = staged(many.groupBy("leaf", "m", "a", "b").agg(F.min("first").alias("earliest")))
-    found = many.join(by_set, ["leaf", "m", "a", "b"]).groupBy("leaf", "tail", "rest").agg(F.min("earliest").alias("first"))
-    return near.unionByName(found)
+    return near.unionByName(_earlier_in_crowd(staged(tails.join(crowded, "leaf", "left_semi"))))
 
 
 def recurring(rows):
@@ -174,7 +226,7 @@ def recurring(rows):
     and on `LEAST_ALIKE` at least. A line of fewer than `LEAST_TOKENS` tokens has to be the same in
     `COMMON_DOCUMENTS` documents.
     """
-    later = (F.col("doc") > F.col("first")) | (F.col("doc").isNull() & F.col("first").isNotNull())
+    later = _later(F.col("doc"), F.col("first"))
     short, rows = rows.filter("leaf is null"), rows.filter("leaf is not null")
     shared = staged(_shared(rows, "exact").unionByName(_common(short)))
     same = rows.unionByName(short).join(shared, "exact").filter(later).select("key", "line")

@@ -1,5 +1,9 @@
+import json
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import defaultdict
 
 import llm_fixtures as fx
@@ -73,6 +77,62 @@ def test_lines_meet_every_earlier_line_of_their_leaf(spark, frame, monkeypatch,
     assert sorted(found, key=repr) == sorted(wanted, key=repr) and 30 < sum(n for _, n, _ in wanted) < 250
 
 
+def near_copies(n, rng):
+    """One line per document, each with up to ten words of its own after an opening that all share."""
+    base = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(88)]
+    rows = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.choice([2, 4, 6, 10])):
+            words[rng.randrange(8, 88)] = "x" + "".join(rng.choice("abcdefgh") for _ in range(6))
+        rows.append((None if rng.random() < 0.02 else rng.randrange(n), " ".join(words)))
+    return rows
+
+
+def test_near_copies_of_one_line_equal_brute_force(spark, frame):
+    docs = near_copies(500, random.Random(6))
+    found = [(r["doc_id"], r["n_dropped"], r["text"]) for r in linededup.dedup(frame(docs, "doc_id long, text string")).collect()]
+    wanted = brute(docs)
+    assert sorted(found, key=repr) == sorted(wanted, key=repr) and 200 < sum(n for _, n, _ in wanted) < 480
+
+
+COUNTED = """
+import json, sys
+from brisktill.llm import linededup
+from brisktill.session import build_session
+folder = sys.argv[1]
+spark = build_session("rows", "local[4]", spark__sql__shuffle__partitions=4, spark__ui__enabled="false", spark__eventLog__enabled="true",
+                      spark__eventLog__dir=folder + "/log", spark__eventLog__compress="false", spark__eventLog__rolling__enabled="false")
+docs = spark.createDataFrame(json.load(open(folder + "/docs.json")), "doc_id long, text string")
+linededup.dedup(docs).collect()
+spark.stop()
+"""
+
+
+def test_near_copies_of_one_line_make_few_rows(tmp_path):
+    """Rows made by exploding keys, from Spark's event log: 140 a tail if each is taken by every sufficient set, twice."""
+    n = 600
+    (tmp_path / "log").mkdir()
+    (tmp_path / "docs.json").write_text(json.dumps(near_copies(n, random.Random(6))))
+    root = os.path.dirname(os.path.dirname(linededup.__file__))
+    env = {**os.environ, "PYTHONPATH": os.path.dirname(root)}
+    subprocess.run([sys.executable, "-c", COUNTED, str(tmp_path)], check=True, env=env, timeout=300)
+    events = [json.loads(line) for file in (tmp_path / "log").iterdir() if file.is_file() for line in file.open()]
+    counters = set()
+
+    def walk(node):
+        if "Generate" in node["nodeName"]:
+            counters.update(m["accumulatorId"] for m in node["metrics"] if m["name"] == "number of output rows")
+        for child in node["children"]:
+            walk(child)
+
+    for e in events:
+        if "sparkPlanInfo" in e:
+            walk(e["sparkPlanInfo"])
+    ended = [a for e in events if e["Event"] == "SparkListenerTaskEnd" for a in e["Task Info"]["Accumulables"]]
+    assert 0 < sum(int(a["Update"]) for a in ended if a["ID"] in counters) < 80 * n
+
+
 def test_later_templates_of_a_leaf_count(spark, frame):
     """Two families of lines begin alike; the second one's recurrence goes too."""
     head = "please note that all of these opening hours"
